@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import p1_documentation, p2_unwritten, p3_splitting, p4_syntax, p6_tokenizer
+from . import p1_documentation, p2_unwritten, p3_splitting, p4_syntax, p5_pairs, p6_tokenizer, p7_leaks, p8_stuffing
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,7 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": _over(p3_splitting.pieces, "packaged_files", "split_limits"),
     "p4_found": _over(p4_syntax.found, "files"),
     "p4_rates": _over(p4_syntax.rates, "files"),
+    "p5_found": _over(p5_pairs.found, "runs"),
+    "p5_rates": _over(p5_pairs.rates, "runs"),
     "p6_ids": _over(p6_tokenizer.encode, "documents"),
+    "p7_found": _over(p7_leaks.found, "documents", "eval_items"),
+    "p7_items": _over(p7_leaks.items_leaked, "documents", "eval_items"),
+    "p8_found": _over(p8_stuffing.found, "documents"),
+    "p8_scores": _over(p8_stuffing.scored, "documents"),
 }
 
 ORACLE: dict[str, str] = {
