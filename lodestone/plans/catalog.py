@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["text_queries", "index_queries", "structure_queries", "symbol_queries", "ranking_queries", "ledger_queries", "evaluation_queries", "graph_queries", "stateful_queries"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+for _name in MODULES:
+    _module = importlib.import_module(f"{__package__}.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
