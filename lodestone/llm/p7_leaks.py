@@ -32,7 +32,7 @@ PASSAGE_WORDS = 12
 #: Positions between matched shingles of a chain, on either side, that an edit may leave.
 GAP = 4
 LEAST_EVIDENCE = 4
-SIMILARITY = 0.5
+SIMILARITY = 0.4
 BLOCK_WINDOWS = 200_000
 
 _WORDS = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
