@@ -27,7 +27,7 @@ def suite_summary(spark, d):
     """Means of the reductions and win, loss and tie counts, by workspace and over all (null workspace), in one pass."""
     p = _pairs(spark, d).withColumn("red", E.reduction(F.col("total_tokens_d"), F.col("total_tokens_e"))).withColumn("lat", E.reduction(F.col("latency_ms_d"), F.col("latency_ms_e")))
     p = p.select(F.coalesce("workspace_id_d", F.lit("")).alias("workspace"), "red", "lat")
-    return p.groupingSets([["workspace"], []], "workspace").agg(F.count("*").alias("pairs"), F.round(F.avg("red"), 2).alias("mean_reduction"), F.round(F.avg("lat"), 2).alias("mean_latency"), F.count_if(F.col("lat") > 0).alias("wins"), F.count_if(F.col("lat") < 0).alias("losses"), F.count_if(F.col("lat") == 0).alias("ties"))
+    return p.groupingSets([["workspace"], []], "workspace").agg(F.count("*").alias("pairs"), F.round(F.avg("red"), 6).alias("mean_reduction"), F.round(F.avg("lat"), 6).alias("mean_latency"), F.count_if(F.col("lat") > 0).alias("wins"), F.count_if(F.col("lat") < 0).alias("losses"), F.count_if(F.col("lat") == 0).alias("ties"))
 
 
 def paired_ttest(spark, d):
@@ -129,7 +129,7 @@ def _rate(text: str) -> str:
 ORACLE = {
     "reduction_metrics": f"WITH {_P} SELECT pair, {_red('td', 'te')} AS token_reduction, {_red('ld', 'le')} AS latency_reduction, CASE WHEN pe > 0 THEN round(pd / pe, 4) END AS prompt_ratio, CASE WHEN fd > 0 THEN round(fe / fd, 4) END AS file_ratio FROM pr",
     "suite_summary": f"""WITH {_P}, x AS (SELECT workspace, {_red('td', 'te')} AS red, {_red('ld', 'le')} AS lat FROM pr)
-        SELECT workspace, count(*) AS pairs, round(avg(red), 2) AS mean_reduction, round(avg(lat), 2) AS mean_latency, count(*) FILTER (lat > 0) AS wins, count(*) FILTER (lat < 0) AS losses, count(*) FILTER (lat = 0) AS ties FROM x GROUP BY GROUPING SETS ((workspace), ())""",
+        SELECT workspace, count(*) AS pairs, round(avg(red), 6) AS mean_reduction, round(avg(lat), 6) AS mean_latency, count(*) FILTER (lat > 0) AS wins, count(*) FILTER (lat < 0) AS losses, count(*) FILTER (lat = 0) AS ties FROM x GROUP BY GROUPING SETS ((workspace), ())""",
     "paired_ttest": f"WITH {_P}, a AS (SELECT workspace, count(*) AS n, avg(td - te) AS m, stddev_samp(td - te) AS s FROM pr WHERE td IS NOT NULL AND te IS NOT NULL GROUP BY 1) SELECT workspace, n, round({_T}, 6) AS t FROM a",
     "mean_std": f"WITH {_R} SELECT mode, model, count(*) AS n, round(avg(latency_ms), 3) AS mean, round(stddev_pop(latency_ms), 3) AS sd FROM r GROUP BY 1, 2",
     "metric_rollup": f"WITH {_R}, x AS (SELECT coalesce(model, '') AS model, coalesce(mode, '') AS mode, total_tokens, execution_status FROM r) SELECT model, mode, count(*) AS runs, round(avg(total_tokens), 3) AS mean_tokens, count(*) FILTER (execution_status = 'success') AS succeeded FROM x GROUP BY ROLLUP (model, mode)",
