@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stateful as S
-from ..session import table
+from ..session import ship, table
 from .ledger_queries import _R, _runs
 
 #: Three tokens, one back every six hours: the events of a user are hours apart.
@@ -14,12 +14,14 @@ TTL = 86_400
 
 
 def token_bucket(spark, d):
+    ship(spark)
     b = S.token_bucket(table(spark, d, "events"), ["user_id"], "ts", "event_id", CAPACITY, RATE)
     return b.select("user_id", "event_id", "allowed", F.round("tokens", 6).alias("tokens"))
 
 
 def idempotency_replay(spark, d):
     """Event types as keys of each user's requests, the payload's parity as their digest."""
+    ship(spark)
     e = table(spark, d, "events").withColumn("digest", F.pmod(F.col("event_id"), F.lit(2)))
     return S.idempotency(e, ["user_id", "event_type"], "ts", "event_id", "digest", TTL)
 
