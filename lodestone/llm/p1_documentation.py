@@ -239,6 +239,6 @@ def pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     doc = documented(symbols, rows).join(e, ["file_path", "start_line"], "left").withColumn("end_line", F.coalesce("end_line", "body_end", "start_line"))
     time = F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))
     latest = files.filter(is_source(F.col("file_path"))).groupBy("file_path").agg(F.max_by(F.struct("source_bytes", "language"), time).alias("_f"))
-    lines = F.split(F.regexp_replace(F.decode("_f.source_bytes", F.lit("UTF-8")), "^\ufeff", ""), "\r\n|\r|\n")
+    lines = F.split(F.regexp_replace(F.make_valid_utf8(F.col("_f.source_bytes").cast("string")), "^\ufeff", ""), "\r\n|\r|\n")
     code = F.array_join(F.slice(lines, F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
     return doc.join(latest, "file_path").select("id", "name", F.col("_f.language").alias("language"), code.alias("code"), "description")
