@@ -38,15 +38,15 @@ def weights(counts: DataFrame, documents: DataFrame, key: str) -> DataFrame:
 def scores(queries: DataFrame, query_key: str, text: str, profile: DataFrame, key: str, usage: DataFrame | None = None) -> DataFrame:
     """``query_key, key, score`` of documents that share a term with a query: the sum of query counts times weights, damped for
     short documents, rarely used ones (where usage is known) and few matched terms."""
-    q = queries.select(query_key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("q"))
-    q = q.withColumn("distinct_terms", F.count("*").over(Window.partitionBy(query_key)))
+    q = queries.select(query_key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("_q"))
+    q = q.withColumn("_terms", F.count("*").over(Window.partitionBy(query_key)))
     hit = q.join(profile, "term").groupBy(query_key, key).agg(
-        F.sum(F.col("q") * F.col("weight")).alias("s"), F.count("*").alias("matched"), F.first("distinct_terms").alias("terms"), F.first("length").alias("length"))
-    damp = F.least(F.lit(1.0), F.col("length") / LENGTH_FLOOR) * F.least(F.lit(1.0), F.col("matched") / F.least(F.lit(COVERAGE_FLOOR), F.col("terms")))
+        F.sum(F.col("_q") * F.col("weight")).alias("_s"), F.count("*").alias("_matched"), F.first("_terms").alias("_terms"), F.first("length").alias("_length"))
+    damp = F.least(F.lit(1.0), F.col("_length") / LENGTH_FLOOR) * F.least(F.lit(1.0), F.col("_matched") / F.least(F.lit(COVERAGE_FLOOR), F.col("_terms")))
     if usage is not None:
         hit = hit.join(usage, key, "left")
         damp = damp * F.when(F.col("usage").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("usage") / USAGE_FLOOR))
-    return hit.select(query_key, key, (F.col("s") * damp).alias("score"))
+    return hit.select(query_key, key, (F.col("_s") * damp).alias("score"))
 
 
 def ppmi(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -19,7 +19,8 @@ EXTENSIONS = {".py": "python", ".pyi": "python", ".ts": "ts", ".tsx": "ts", ".js
 _BLANK = re.compile(r'//[^\n]*|/\*.*?\*/|`(?:[^`\\]|\\.)*`|"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n]{1,9})\'', re.S)
 _GO_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)+'", re.S)
 _JS_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|`(?:[^`\\]|\\.)*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
-_WORDS = set("if for while switch catch return function else do try new throw typeof await match loop fn func go defer select range assert yield super synchronized in of case default sizeof class def lambda with and or not is print except elif finally".split())
+_WORDS = set("if for while switch catch return function else do try new throw typeof await synchronized sizeof super assert yield case default".split())
+_OWN_WORDS = {"go": {"func", "go", "defer", "select", "range"}, "rust": {"match", "loop", "fn"}, "kotlin": {"when", "fun"}, "csharp": {"using", "lock", "nameof"}}
 
 _TYPES = {
     "ts": re.compile(r"\b(class|interface)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^{]*?>)?\s*(?:extends\s+(?P<bases>[\w$., <>]+?))?\s*(?:implements\s+(?P<more>[\w$., <>]+?))?\s*\{"),
@@ -93,7 +94,7 @@ def parse_python(path: str, text: str) -> list[tuple]:
 
 
 def parse_braces(lang: str, path: str, text: str) -> list[tuple]:
-    flat = blanked(lang, text)
+    flat, words = blanked(lang, text), _WORDS | _OWN_WORDS.get(lang, set())
     ends = [m.start() for m in re.finditer("\n", text)]
     line = lambda pos: bisect_right(ends, pos - 1) + 1 if pos else 1
     close, stack, braces, depths = {}, [], [-1], [0]
@@ -131,7 +132,7 @@ def parse_braces(lang: str, path: str, text: str) -> list[tuple]:
     for m in _FUNCS[lang].finditer(flat):
         d = m.groupdict()
         name = d.get("name") or d.get("aname") or d.get("mname")
-        if not name or name in _WORDS:
+        if not name or name in words:
             continue
         at = m.start("name") if d.get("name") else m.start("aname") if d.get("aname") else m.start("mname")
         inside = [o for o in owners if o[0] < at < o[1]]
@@ -158,7 +159,7 @@ def parse_braces(lang: str, path: str, text: str) -> list[tuple]:
         outer.append(open_[-1] if open_ else -1)
         open_.append(k)
     for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*\(", flat):
-        if m.group(1) in _WORDS or m.start(1) in declared:
+        if m.group(1) in words or m.start(1) in declared:
             continue
         k = bisect_right(starts, m.start() - 1) - 1
         while k >= 0 and functions[k][1] < m.start():
