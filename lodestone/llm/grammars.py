@@ -34,11 +34,13 @@ compound = { '@' named 'NL' } [ 'async' ] ( 'def' name [ '[' slices ']' ] '(' [
   | 'try' ':' block ( except { except } [ else ] [ finally ] | finally )
   | 'match' starlist ':' 'NL' 'IN' case { case } 'DE' ;
 case = 'case' pattern { ',' pattern } [ ',' ] [ 'if' named ] ':' block ;
-pattern = [ '*' ] expr [ 'as' name ] ;
+pattern = [ '*' ] choice { 'b' choice } [ 'as' name ] ;
+choice = operation | '(' pattern { ',' pattern } [ ',' ] ')' | '[' [ pattern { ',' pattern } [ ',' ] ] ']' ;
 else = 'else' ':' block ;
 finally = 'finally' ':' block ;
 except = 'except' [ '*' ] [ starlist [ 'as' name ] ] ':' block ;
-withs = expr [ 'as' target ] { ',' expr [ 'as' target ] } ;
+withs = with { ',' with } | '(' with { ',' with } [ ',' ] ')' ;
+with = expr [ 'as' target ] ;
 targets = target { ',' target } [ ',' ] ;
 target = [ '*' ] primary ;
 params = param { ',' param } [ ',' ] ;
@@ -77,7 +79,7 @@ declaration = variables ';' | function | { 'D' [ '(' [ args ] ')' ] { '.' name }
 variables = ( 'const' | 'let' | 'var' ) variable { ',' variable } ;
 variable = binding [T('!')] T([ ':' type ]) [ '=' expr ] ;
 binding = bind | array | object ;
-bind = 'i' | 'm' | 'async' | 'of' | 'as' | 'from' T( | 'type' | 'namespace' | 'declare' | 'is' | 'module' | 'keyof' | 'infer' | 'satisfies' ) ;
+bind = 'i' | 'm' | 'async' | 'of' | 'as' | 'from' T( | 'type' | 'namespace' | 'declare' | 'is' | 'module' | 'keyof' | 'infer' | 'satisfies' | 'asserts' ) ;
 name = bind | 'await' | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'export'
   | 'extends' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'let' | 'new' | 'return' | 'super' | 'switch' | 'this'
   | 'throw' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'yield' T( | 'interface' | 'enum' | 'implements' ) ;
@@ -88,7 +90,7 @@ stmt = block | ';' | declaration | bind ':' stmt | exprs0 ';' | 'debugger' ';'
   | 'return' [ exprs ] ';' | 'throw' exprs ';' | ( 'break' | 'continue' ) [ bind ] ';'
   | 'switch' '(' exprs ')' '{' { ( 'case' exprs | 'default' ) ':' { item } } '}'
   | 'try' block ( 'catch' [ '(' binding T([ ':' type ]) ')' ] block [ 'finally' block ] | 'finally' block ) ;
-function = [ 'async' ] 'function' [ '*' ] [ bind ] signature block ;
+function = [ 'async' ] 'function' [ '*' ] [ bind ] signature ( block T( | ';' ) ) ;
 signature = T([ tparams ]) '(' [ params ] ')' T([ ':' type ]) ;
 params = param { ',' param } [ ',' ] ;
 param = { 'D' [ '(' [ args ] ')' ] } T({ 'm' }) [ '...' ] ( binding | 'this' ) T([ '?' ] [ ':' type ]) [ '=' expr ] ;
@@ -120,6 +122,7 @@ args = element { ',' element } [ ',' ] ;
 """
 _TYPES = """
 interface = 'interface' bind [ tparams ] [ 'extends' type { ',' type } ] shape ;
+element2 = [ '...' ] [ bind [ '?' ] ':' ] type [ '?' ] ;
 shape = '{' { signed ( ';' | ',' ) } [ signed ] '}' ;
 signed = { 'm' } key [ '?' ] [ ':' type ] | { 'm' } key [ '?' ] signature | [ 'new' ] signature | { 'm' | '-' | '+' } '[' bind ( ':' | 'in' ) type ']' [ [ '-' | '+' ] '?' ] ':' type ;
 tparams = '<' tparam { ',' tparam } [ ',' ] '>' ;
@@ -127,8 +130,8 @@ tparam = [ 'const' ] bind [ 'extends' type ] [ '=' type ] ;
 typeargs = '<' type { ',' type } '>' ;
 type = [ '|' | '&' ] unit { ( '|' | '&' ) unit } [ 'extends' type '?' type ':' type ] | [ 'new' ] [ tparams ] '(' [ params ] ')' '=>' type ;
 unit = { 'keyof' | 'typeof' | 'infer' | 'm' } named { '[' [ type ] ']' } ;
-named = ( bind | 'this' ) { '.' name } [ typeargs ] | 's' | [ '-' ] 'n' | 'void' | '(' type ')' | shape | '[' [ [ '...' ] type { ',' [ '...' ] type } [ ',' ] ] ']'
-  | ( bind | 'this' ) 'is' type | 'import' '(' 's' ')' { '.' name } [ typeargs ] ;
+named = ( bind | 'this' ) { '.' name } [ typeargs ] | 's' | [ '-' ] 'n' | 'void' | '(' type ')' | shape | '[' [ element2 { ',' element2 } [ ',' ] ] ']'
+  | [ 'asserts' ] ( bind | 'this' ) 'is' type | 'asserts' bind | 'import' '(' 's' ')' { '.' name } [ typeargs ] ;
 """
 
 _JAVA = """
@@ -171,7 +174,7 @@ label = operation [ name ] | 'default' ;
 expr = operation [ '?' expr ':' expr | ( '=' | 'A' | '>' '>' [ '>' ] '=' ) expr ] | lambda ;
 lambda = ( name | '(' [ name { ',' name } | params ] ')' ) '->' ( expr | block ) ;
 operation = unary { binary unary | 'instanceof' [ 'm' ] type [ name | '(' [ params ] ')' ] } ;
-binary = 'b' | '+' | '-' | '&' | '<' | '>' [ '>' [ '>' ] ] [ '=' ] ;
+binary = 'b' | '*' | '+' | '-' | '&' | '<' | '>' [ '>' [ '>' ] ] [ '=' ] ;
 unary = { 'u' | '+' | '-' | '++' | '--' | '(' type { '&' type } ')' } postfix { '++' | '--' } ;
 postfix = primary { '.' ( [ targs ] ( name | 'super' ) [ '(' [ args ] ')' ] | 'class' | 'this' | 'new' creator ) | '[' expr ']' | '::' ( name | 'new' ) } ;
 primary = name [ '(' [ args ] ')' ] | 'n' | 's' | ( 'this' | 'super' ) [ '(' [ args ] ')' ] | '(' expr ')' | '(' lambda ')' | 'new' creator | switch | type ( '::' ( name | 'new' ) | '.' 'class' ) ;
@@ -230,9 +233,9 @@ trees = { tree } ;
 tree = '(' trees ')' | '[' trees ']' | '{' trees '}' | any ;
 item = attrs [ vis ] ( 'use' usetree ';' | 'mod' 'i' ( ';' | '{' { item } '}' ) | { 'const' | 'async' | 'unsafe' | 'extern' [ 's' ] } 'fn' name generics '(' [ selfs ] ')' [ '->' type ] where ( block | ';' )
   | 'struct' 'i' generics ( where '{' [ field { ',' field } [ ',' ] ] '}' | '(' [ tfield { ',' tfield } [ ',' ] ] ')' where ';' | ';' )
-  | ( 'enum' ) 'i' generics where '{' [ variant { ',' variant } [ ',' ] ] '}' | [ 'unsafe' ] 'impl' generics [ '!' ] type [ 'for' type ] where '{' { item } '}'
+  | 'union' 'i' generics where '{' [ field { ',' field } [ ',' ] ] '}' | 'enum' 'i' generics where '{' [ variant { ',' variant } [ ',' ] ] '}' | [ 'unsafe' ] 'impl' generics [ '!' ] type [ 'for' type ] where '{' { item } '}'
   | [ 'unsafe' ] 'trait' 'i' generics [ ':' bounds ] where '{' { item } '}' | ( 'const' | 'static' [ 'mut' ] ) ( name | '_' ) ':' type [ '=' expr ] ';'
-  | 'type' 'i' generics [ ':' bounds ] where [ '=' type ] ';' | 'extern' 'crate' 'i' ';' | 'extern' [ 's' ] '{' { item } '}' ) | macroitem | attrs '#' ;
+  | 'type' 'i' generics [ ':' bounds ] where [ '=' type ] ';' | 'extern' 'crate' ( 'i' | 'self' ) [ 'as' ( 'i' | '_' ) ] ';' | [ 'unsafe' ] 'extern' [ 's' ] '{' { item } '}' ) | macroitem | attrs '#' ;
 name = 'i' | 'union' | 'match' ;
 macroitem = attrs path '!' [ 'i' ] ( '(' trees ')' ';' | '[' trees ']' ';' | '{' trees '}' ) ;
 vis = 'pub' [ '(' [ 'in' ] path ')' ] ;
@@ -241,22 +244,23 @@ useseg = 'i' | 'crate' | 'self' | 'super' | '*' | '{' [ usetree { ',' usetree }
 generics = [ '<' [ generic { ',' generic } [ ',' ] ] '>' ] ;
 generic = attrs ( 'l' [ ':' 'l' { '+' 'l' } ] | 'const' 'i' ':' type [ '=' expr ] | 'i' [ ':' [ bounds ] ] [ '=' type ] ) ;
 bounds = bound { '+' bound } ;
-bound = 'l' | [ '?' ] [ 'for' '<' 'l' { ',' 'l' } '>' ] path | '(' bound ')' ;
+bound = 'l' | 'use' '<' [ ( 'l' | 'i' ) { ',' ( 'l' | 'i' ) } ] '>' | [ '?' ] [ 'for' '<' 'l' { ',' 'l' } '>' ] path | '(' bound ')' ;
 where = [ 'where' [ wherepart { ',' wherepart } [ ',' ] ] ] ;
 wherepart = ( 'l' | [ 'for' '<' 'l' { ',' 'l' } '>' ] type ) ':' [ bounds ] ;
 selfs = ( [ '&' [ 'l' ] ] [ 'mut' ] 'self' [ ':' type ] | param ) { ',' param } [ ',' ] ;
-param = attrs pat ':' type | attrs type ;
+param = attrs pat ':' type | attrs type | attrs [ pat ':' ] '...' ;
 field = attrs [ vis ] 'i' ':' type ;
 tfield = attrs [ vis ] type ;
 variant = attrs 'i' [ '{' [ field { ',' field } [ ',' ] ] '}' | '(' [ tfield { ',' tfield } [ ',' ] ] ')' ] [ '=' expr ] ;
 type = path | ( '&' | '&&' ) [ 'l' ] [ 'mut' ] type | '*' ( 'const' | 'mut' ) type | '(' [ type { ',' type } [ ',' ] ] ')' | '[' type [ ';' expr ] ']' | '!' | '_'
-  | ( 'dyn' | 'impl' ) bounds | [ 'unsafe' ] [ 'extern' [ 's' ] ] 'fn' '(' [ type { ',' type } ] ')' [ '->' type ] | '<' type [ 'as' type ] '>' '::' path ;
+  | ( 'dyn' | 'impl' ) bounds | [ 'unsafe' ] [ 'extern' [ 's' ] ] 'fn' '(' [ fnparam { ',' fnparam } [ ',' ] ] ')' [ '->' type ] | 'for' '<' [ 'l' { ',' 'l' } ] '>' type | '<' type [ 'as' type ] '>' '::' path | path '!' tree ;
+fnparam = attrs [ ( 'i' | '_' ) ':' ] type | '...' ;
 path = [ '::' ] segment { '::' segment } ;
 segment = ( name | 'crate' | 'self' | 'super' ) [ [ '::' ] targs | '(' [ type { ',' type } ] ')' [ '->' type ] ] ;
 targs = '<' [ targ { ',' targ } [ ',' ] ] '>' ;
 targ = 'l' | type | 'i' '=' type | 'n' | block ;
-block = '{' { stmt } [ expr ] '}' ;
-stmt = ';' | item | attrs 'let' pat [ ':' type ] [ '=' expr [ 'else' block ] ] ';' | expr ';' | blocklike ;
+block = '{' { stmt } [ attrs expr ] '}' ;
+stmt = ';' | item | attrs ( 'let' pat [ ':' type ] [ '=' expr [ 'else' block ] ] ';' | expr ';' | blocklike ) ;
 blocklike = [ 'l' ':' ] ( 'loop' block | 'while' [ 'let' pat '=' ] exprC block | 'for' pat 'in' exprC block ) | if | 'match' exprC arms | [ 'unsafe' | 'async' [ 'move' ] | 'const' ] block | 'l' ':' block ;
 if = 'if' [ 'let' pat '=' ] exprC block [ 'else' ( if | block ) ] ;
 arms = '{' { attrs pat [ 'if' expr ] '=>' ( expr ',' | blocklike ) } [ attrs pat [ 'if' expr ] '=>' expr ] '}' ;
@@ -264,7 +268,7 @@ pat = [ '|' ] pat1 { '|' pat1 } ;
 pat1 = ( '&' | '&&' ) [ 'mut' ] pat1 | [ 'ref' ] [ 'mut' ] 'i' [ '@' pat1 ] | '_' | '..' | [ '-' ] ( 'n' | 's' ) [ ( '..=' | '..' ) [ [ '-' ] ( 'n' | 's' ) ] ] | '..=' ( 'n' | 's' )
   | path [ '(' [ pat { ',' pat } [ ',' ] ] ')' | '{' [ patfield { ',' patfield } [ ',' ] ] '}' ] | '(' [ pat { ',' pat } [ ',' ] ] ')' | '[' [ pat { ',' pat } [ ',' ] ] ']' ;
 patfield = '..' | attrs [ 'ref' ] [ 'mut' ] 'i' | attrs ( 'i' | 'n' ) ':' pat ;
-expr = range [ ( '=' | 'A' | '>' '>' '=' ) expr ] | closure | jump ;
+expr = range [ ( '=' | 'A' | '>' '>' '=' | '<' 'b' ) expr ] | closure | jump ;
 jump = 'return' [ expr ] | 'break' [ 'l' ] [ expr ] | 'continue' [ 'l' ] ;
 closure = [ 'async' ] [ 'move' ] ( '||' | '|' [ cparam { ',' cparam } [ ',' ] ] '|' ) ( expr | '->' type block ) ;
 cparam = pat1 [ ':' type ] ;
@@ -278,11 +282,11 @@ rangeC = operationC [ ( '..' | '..=' ) [ operationC ] ] | ( '..' | '..=' ) [ ope
 operationC = unaryC { binary unaryC | '&&' 'let' pat '=' unaryC } ;
 unaryC = { '-' | '!' | '*' | ( '&' | '&&' ) [ 'mut' ] } postfixC ;
 postfixC = primaryC { trailer } ;
-binary = 'b' | '+' | '-' | '*' | '|' | '&' | '||' | '&&' | '<' | '>' [ '>' ] [ '=' ] ;
-trailer = '?' | '.' ( 'i' [ '::' targs ] | 'n' | 'await' | 'match' ) | '(' [ args ] ')' | '[' expr ']' | 'as' type ;
+binary = 'b' | '+' | '-' | '*' | '|' | '&' | '||' | '&&' | '<' [ '<' ] | '>' [ '>' ] [ '=' ] ;
+trailer = '?' | '.' ( ( 'i' | 'union' ) [ '::' targs ] | 'n' | 'await' | 'match' ) | '(' [ args ] ')' | '[' expr ']' | 'as' type ;
 primaryC = 'n' | 's' | path | '<' type [ 'as' type ] '>' '::' path | path '!' ( '(' trees ')' | '[' trees ']' | '{' trees '}' ) | '(' [ expr { ',' expr } [ ',' ] ] ')' | '[' [ expr ( ';' expr | { ',' expr } [ ',' ] ) ] ']' | blocklike ;
 init = attrs ( 'i' | 'n' ) [ ':' expr ] | '..' expr ;
-args = expr { ',' expr } [ ',' ] ;
+args = attrs expr { ',' attrs expr } [ ',' ] ;
 """
 
 
@@ -303,7 +307,7 @@ def _ecma(types: bool) -> str:
 
 def _rust() -> str:
     words = Classes("rust")
-    every = ({*words.fixed.values()} | {*"ilns<>,;:.?=+-*&|!@#"} | {"...", "->", "=>", "::", "..", "..=", "||", "&&", "_"}) - {""}
+    every = ({*words.fixed.values()} | {*"ilns<>,;:.?=+-*&|!@#$~"} | {"...", "->", "=>", "::", "..", "..=", "||", "&&", "_"}) - {""}
     return _RUST + "any = " + " | ".join(f"'{c}'" for c in sorted(every)) + " ;"
 
 
@@ -366,7 +370,7 @@ def _python_layout(toks: list[str], raw: list[str]) -> tuple[list[str], list[int
             depth = max(0, depth - 1)
         elif not c:
             continue
-        elif c[0] in "\n \t":
+        elif c[0] in "\n \t" or c[0] == "#":
             if depth or k == len(raw) - 1:
                 continue
             if k + 1 < len(raw) and not raw[k + 1]:  # a comment or a joined line follows
@@ -438,8 +442,9 @@ def _ecma_parse(g: Grammar, toks: list[str], raw: list[str]) -> tuple[str, int]:
             k += 1
             continue
         if c == "b" and toks[k] == "/" and prev in _BEFORE_REGEX:
-            end = k + 1
-            while end < n and raw[end] != "\n" and toks[end] != "/":
+            end, bracket = k + 1, False
+            while end < n and raw[end] != "\n" and (bracket or toks[end] != "/"):
+                bracket = toks[end] == "[" or bracket and toks[end] != "]"
                 end += 2 if toks[end] == "\\" else 1
             if end < n and toks[end] == "/":
                 c, k = "r", end + (end + 1 < n and raw[end + 1] == "i")

@@ -20,7 +20,8 @@ _NUMBER = r"0[xXbBoO][\da-fA-F_]+\w*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]
 _TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}`]*\}|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*\})*+`)*+\})*+`"
 
 _PATTERNS = {
-    "python": r'[rRbBuUfFtT]{0,2}(?:"""(?:[^\\]|\\.)*?"""|' + r"'''(?:[^\\]|\\.)*?'''|" + _CSTRING + "|" + _CCHAR + r")"
+    "python": r'(?:[fFtT][rR]?|[rR][fFtT])(?:"(?!"")(?:[^"\\{\n]|\\.|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*+"|' + r"'(?!'')(?:[^'\\{\n]|\\.|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})+\})*+')|"
+    r'[rRbBuUfFtT]{0,2}(?:"""(?:[^\\]|\\.)*?"""|' + r"'''(?:[^\\]|\\.)*?'''|" + _CSTRING + "|" + _CCHAR + r")"
     r"|(?:[ \t]*(?:\#[^\n]*)?\n)+[ \t]*|\#[^\n]*|" + _WORD + "|" + _NUMBER
     + r"|\.\.\.|:=|->|\*\*=|//=|>>=|<<=|[-+*/%&|^@=!<>]=|\*\*|//|<<|>>|\\\n|[^ \t\f]",
     "javascript": _LINE + "|" + _BLOCK + "|" + _CSTRING + "|" + _CCHAR + "|" + _TEMPLATE + r"|[$@#]?(?:[^\W\d]|\$)[\w$]*|" + _NUMBER + "n?"
@@ -30,7 +31,7 @@ _PATTERNS = {
     "go": _LINE + "|" + _BLOCK + "|" + _CSTRING + "|" + _CCHAR + r"|`[^`]*`|" + _WORD + "|" + _NUMBER + "i?"
     + r"|\n|\.\.\.|:=|<-|==|!=|<=|>=|\+\+|--|&&|\|\||&\^=|<<=|>>=|&\^|<<|>>|[-+*/%&|^]=|[^ \t\f]",
     "rust": _LINE + "|" + _BLOCK + r'|b?r(\#*)".*?"\1|[bc]?"(?:[^"\\]|\\.)*+"|' + r"b?'(?:[^'\\\n]|\\[^\n]+?)'|'[^\W\d]\w*|" + r"r\#\w+|" + _WORD
-    + r"|0[xbo][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*" + r"|\.\.=|\.\.\.|\.\.|=>|->|::|==|!=|<=|&&|\|\||<<=|<<|[-+*/%&|^]=|[^ \t\f\n]",
+    + r"|0[xbo][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?\d+)?\w*" + r"|\.\.=|\.\.\.|\.\.|=>|->|::|==|!=|<=|&&|\|\||[-+*/%&|^]=|[^ \t\f\n]",
 }
 _PATTERNS["typescript"] = _PATTERNS["javascript"]
 # findall gives the first group where there is one, so the only group is the whole token.
@@ -64,7 +65,7 @@ _KEYWORDS = {
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
     "rust": "as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self static struct super trait type union unsafe use where while",
 }
-_KEYWORDS["typescript"] = _KEYWORDS["javascript"] + " interface type enum implements namespace declare satisfies is keyof infer module"
+_KEYWORDS["typescript"] = _KEYWORDS["javascript"] + " interface type enum implements namespace declare satisfies is keyof infer module asserts"
 _MODIFIERS = {
     "javascript": "static get set",
     "typescript": "static get set public private protected readonly abstract override",
@@ -76,9 +77,9 @@ _OPERATORS = {
     "python": {"A": "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=", "b": "// % == != <= >= < > & | ^ << >> /", "u": "~"},
     "javascript": {"A": "+= -= *= /= %= **= <<= &= |= ^= &&= ||= ??=", "b": "=== !== == != <= && || ?? / % ^ ** <<", "u": "~"},
     "typescript": {"A": "+= -= *= /= %= **= <<= &= |= ^= &&= ||= ??=", "b": "=== !== == != <= && || ?? / % ^ ** <<", "u": "~"},
-    "java": {"A": "+= -= *= /= %= <<= &= |= ^=", "b": "== != <= && || / % ^ | * <<", "u": "! ~"},
+    "java": {"A": "+= -= *= /= %= <<= &= |= ^=", "b": "== != <= && || / % ^ | <<", "u": "! ~"},
     "go": {"A": "+= -= *= /= %= <<= >>= &= |= ^= &^=", "b": "== != <= >= < > && || / % | << >> &^", "u": "!"},
-    "rust": {"A": "+= -= *= /= %= <<= &= |= ^=", "b": "== != <= && / % ^ <<", "u": ""},
+    "rust": {"A": "+= -= *= /= %= &= |= ^=", "b": "== != <= / % ^", "u": ""},
 }
 _FSTRING = re.compile(r"(?:[^{}]|\{\{|\}\}|\{[^{}]+(?:\{[^{}]*\}[^{}]*)*\})*+", re.S)
 _PUNCTUATION = set("()[]{}<>,;:.?=+-*&|!@#") | {"...", ":=", "->", "=>", "?.", "++", "--", "<-", "::", "..", "..=", "||", "&&", "**", "_", "\n"}
@@ -98,8 +99,10 @@ class Classes(dict):
         self.fixed |= {w: "m" for w in _MODIFIERS.get(language, "").split()} | {w: "p" for w in _PRIMITIVES.get(language, "").split()}
         for c, ops in _OPERATORS[language].items():
             self.fixed |= {op: c for op in ops.split()}
+        if language == "go":
+            self.fixed["~"] = "~"
         if language == "rust":
-            self.fixed["_"] = "_"
+            self.fixed |= {c: c for c in "_$~"}
 
     def __missing__(self, token: str) -> str:
         c = self.classed(token)
@@ -114,8 +117,10 @@ class Classes(dict):
             return self.fixed[t]
         first, lang = t[0], self.language
         if lang == "python":
-            if first == "#" or t == "\\\n":
+            if first == "#" and "\n" not in t or t == "\\\n":
                 return ""
+            if first == "#":
+                return t
             if first in " \t\n":
                 return t
             k = next((k for k in range(min(3, len(t))) if t[k] in "\"'"), -1)
