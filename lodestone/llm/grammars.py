@@ -400,6 +400,8 @@ def _python_layout(toks: list[str], raw: list[str]) -> tuple[list[str], list[int
         started = True
         out.append(c)
         at.append(k)
+    if depth:  # the text ends within brackets: it was cut off
+        return out, at
     if started and out and out[-1] != "NL":
         out.append("NL")
         at.append(len(toks))
@@ -448,6 +450,8 @@ def _ecma_parse(g: Grammar, toks: list[str], raw: list[str]) -> tuple[str, int]:
                 end += 2 if toks[end] == "\\" else 1
             if end < n and toks[end] == "/":
                 c, k = "r", end + (end + 1 < n and raw[end + 1] == "i")
+        if fresh and (c in ("++", "--") or prev in ("return", "break", "continue")) and s[";"] is not g.empty:
+            s = s[";"]
         d = s[c]
         if d is g.empty and (fresh or c == "}"):
             d = s[";"][c]

@@ -37,7 +37,7 @@ def boundaries(text: str, room: int, overlap: int) -> tuple[np.ndarray, np.ndarr
     for m in _BOUNDARY.finditer(text):
         t = m.group()
         at.append(m.end())
-        kinds.append(4 if t[0] == "\n" and t.count("\n") > 1 else 3 if "\n" in t else 2 if t[0] in ".!?;:。！？" else 1)
+        kinds.append(4 if t.count("\n") > 1 else 3 if "\n" in t else 2 if t[0] in ".!?;:。！？" else 1)
     at.append(len(text))
     kinds.append(4)
     pos, kind = np.asarray(at, np.int64), np.asarray(kinds, np.int8)

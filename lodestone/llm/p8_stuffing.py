@@ -11,7 +11,8 @@ than half of its text, which is the definition.
 
 The estimates are a few numbers of at most ``len(LANGUAGES) + 1`` groups; the figures are checkpointed (a few numbers per
 document) between the passes. Null and blank texts are no spam. Languages are taken from the first two letters of ``lang``; all
-others form one group, and a group of fewer than ``LEAST`` documents uses the estimates of all documents. Extra columns are ignored.
+others form one group, and a group of fewer than ``LEAST`` documents uses the estimates of all documents, a corpus of fewer a
+fixed centre. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ FLOOR = [0.05, 0.03, 0.02, 0.03]
 CUTOFF = 18.467
 LEAST = 50
 ROUNDS = 2
+#: Centre of ordinary documents, and its spread in floors, for corpora of fewer than ``LEAST`` documents in all.
+PRIOR, PRIOR_SPREAD = [0.0, 0.33, 0.95, 0.05], 3
 
 _LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)\S+", re.I | re.S)
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
@@ -154,6 +157,9 @@ def robust(figs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     middle = {r["g"]: r for r in every.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FIGURES]).collect()}
     if not middle:
         return {}
+    if middle["*"]["n"] < LEAST:
+        prior = (np.array(PRIOR), np.linalg.inv(np.diag([(PRIOR_SPREAD * f) ** 2 for f in FLOOR])))
+        return dict.fromkeys(groups, prior)
     usable = {g: g if g in middle and middle[g]["n"] >= LEAST else "*" for g in groups}
     centre = {g: np.array([middle[usable[g]][f] for f in FIGURES]) for g in groups}
     dev = [F.abs(F.col(f) - sum_when({g: centre[g][k] for g in groups})).alias(f) for k, f in enumerate(FIGURES)]
