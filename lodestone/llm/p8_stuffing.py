@@ -105,7 +105,7 @@ def figures(text: str | None) -> tuple[float, float, float, float] | None:
         words = _WORD.findall(rest.lower())
         if quoted and (len(words) < 20 or len(_CODE_MARK.findall(rest)) > 0.01 * len(rest)):
             continue
-        every += words
+        every += _WORD.findall(block.lower()) if found else words  # the words of links are words of the page
         if is_list(block, words, len(found), sum(map(len, found)), rest):
             listed += len(block)
     n = len(every)
