@@ -136,15 +136,16 @@ def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def attached(rows: DataFrame) -> DataFrame:
     """What stands directly above (in Python: below) each line: ``file_path, lang, at, style, text``; one pass of windows."""
     w = Window.partitionBy("file_path").orderBy("seq")
-    # In Java the place of a symbol is its first annotation, so annotations end an island there; elsewhere they bridge it.
-    r = rows.filter("kind not in ('A', 'B') or kind = 'A' and lang != 'java'")
+    r = rows.filter("kind != 'B'")
     r = r.withColumn("_above", F.lag("end_line").over(w)).withColumn("_next", F.lead(F.struct("kind", "style", "text")).over(w))
     r = r.withColumn("_island", F.sum(F.when((F.col("line") == F.col("_above") + 1) & (F.col("lang") != "python"), 0).otherwise(1)).over(w))
     python = F.col("lang") == "python"
     r = r.filter(~python | (F.col("kind") == "D") & (F.col("_next.kind") == "S"))
-    r = r.select("file_path", "lang", "_island", "seq", F.when(python, F.col("line")).otherwise(F.col("end_line") + 1).alias("at"),
+    # In Java the place of a symbol is its first annotation, elsewhere the line below all annotations.
+    first = F.when((F.col("lang") == "java") & (F.col("kind") == "A"), F.col("line")).alias("first")
+    r = r.select("file_path", "lang", "_island", "seq", first, F.when(python, F.col("line")).otherwise(F.col("end_line") + 1).alias("at"),
                  F.when(python, F.col("_next.style")).otherwise(F.col("style")).alias("style"), F.when(python, F.col("_next.text")).otherwise(F.col("text")).alias("text"))
-    islands = r.groupBy("file_path", "lang", "_island").agg(F.max("at").alias("at"), F.array_sort(F.collect_list(F.struct("seq", "style", "text"))).alias("_rows"))
+    islands = r.groupBy("file_path", "lang", "_island").agg(F.coalesce(F.min("first"), F.max("at")).alias("at"), F.array_sort(F.collect_list(F.struct("seq", "style", "text"))).alias("_rows"))
     # The last run of an island: neighbouring line comments of one style, or a single block.
     run = F.aggregate(
         F.filter("_rows", lambda x: x["style"].isNotNull()),
