@@ -47,3 +47,16 @@ def header_end(content: Column, most: int = 15) -> Column:
     body = F.transform(head, lambda x: ~F.trim(x).rlike(r"^(\s*$|#|//|/\*|\*|import\b|from\b|package\b|use\b|\"\"\"|''')"))
     first = F.array_position(body, True)
     return F.when(first > 0, first - 1).otherwise(F.size(head)).cast("int")
+
+
+def head_lines(lines: Column) -> Column:
+    """Number of leading lines up to the first after which all parentheses are closed; all lines where they never are."""
+    opened = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("head"))
+
+    def step(acc, x):
+        n, depth = acc["n"] + 1, acc["depth"] + opened(x, "(") - opened(x, ")")
+        return F.struct(n.alias("n"), depth.alias("depth"), F.when((acc["head"] == 0) & (depth <= 0), n).otherwise(acc["head"]).alias("head"))
+
+    fold = F.aggregate(lines, start, step)
+    return F.when(fold["head"] > 0, fold["head"]).otherwise(fold["n"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["text_queries", "index_queries", "structure_queries", "symbol_queries", "ranking_queries", "ledger_queries", "evaluation_queries", "graph_queries", "stateful_queries", "source_queries", "anchor_queries"]
+MODULES = ["text_queries", "index_queries", "structure_queries", "symbol_queries", "ranking_queries", "ledger_queries", "evaluation_queries", "graph_queries", "stateful_queries", "source_queries", "anchor_queries", "excerpt_queries"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
