@@ -260,7 +260,7 @@ ORACLE = {
     "anchor_tiers": f"""WITH {_S}, {_PREF}, n AS (SELECT name FROM s WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) <= 5),
         t AS (SELECT item_id, unnest(regexp_extract_all(task_prompt, '`([^`]+)`', 1)) AS name, 1 AS tier FROM eval_items WHERE task_prompt IS NOT NULL),
         u AS (SELECT item_id, name, tier FROM t JOIN n USING (name) UNION ALL SELECT item_id, name, 3 FROM pq JOIN n ON left(lower(name), 6) = prefix)
-        SELECT item_id, name, min(tier) AS tier, CASE WHEN min(tier) = 1 THEN 1.0 ELSE 0.35 END AS confidence FROM u GROUP BY 1, 2""",
+        SELECT item_id, name, min(tier) AS tier, CASE WHEN min(tier) = 1 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS confidence FROM u GROUP BY 1, 2""",
     "probe_paths": f"""WITH {_PREF}, f AS (SELECT DISTINCT file_path, lower({_STEMF}) AS low FROM files WHERE file_path IS NOT NULL), h AS (SELECT DISTINCT item_id, file_path FROM pq JOIN f ON contains(low, prefix))
         SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY file_path) AS position FROM h QUALIFY position <= 8""",
     "restrict_names": rf"WITH {_S}, {_C} SELECT DISTINCT resolution_id, regexp_replace(reason, '^\S+ ', '') AS name FROM c WHERE (regexp_replace(reason, '^\S+ ', ''), string_split(file_path, '/')[1]) IN (SELECT (name, string_split(file_path, '/')[1]) FROM s)",
