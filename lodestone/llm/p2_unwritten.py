@@ -57,8 +57,10 @@ FEATURES = "file_path string, repo string, tool_notice boolean, copy_notice bool
 def head_lines(language: str, text: str) -> list[str]:
     """The comment lines before the first code of a file, their markers taken off."""
     out, block = [], False
-    for line in text[:20_000].split("\n"):
-        t = line.strip()
+    for m in re.finditer(r"[^\n]*(?:\n|\Z)", text):
+        t = m.group().strip()
+        if not t and m.end() == len(text):
+            break
         if block:
             out.append(t.strip("*/ \t"))
             block = "*/" not in t
