@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Closed-class English words left out of every index (fixed values).
@@ -29,22 +29,38 @@ def cut(c: Column, n: int) -> Column:
     return F.left(c, F.length(c) - n)
 
 
-def stem(word: Column) -> Column:
-    """Light English stemmer: plural first, its result then feeds -ing and -ed; words of up to three letters stay."""
-    plural = (
+def _ends(c: Column, suffixes: list[str]) -> Column:
+    out = F.lit(False)
+    for x in suffixes:
+        out = out | c.endswith(x)
+    return out
+
+
+def singular_stem(word: Column) -> Column:
+    """First step of the stemmer: plurals."""
+    return (
         F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(cut(word, 3), F.lit("y")))
-        .when(word.rlike("(ches|shes|sses|xes|zes)$"), cut(word, 2))
-        .when(word.endswith("s") & ~word.rlike("(us|is|ss)$"), cut(word, 1))
+        .when(_ends(word, ["ches", "shes", "sses", "xes", "zes"]), cut(word, 2))
+        .when(word.endswith("s") & ~_ends(word, ["us", "is", "ss"]), cut(word, 1))
         .otherwise(word)
     )
+
+
+def verb_stem(word: Column, plural: Column) -> Column:
+    """Second step of the stemmer, fed by the first: -ing and -ed after a vowel; words of up to three letters stay."""
     verb = (
-        F.when(plural.rlike("[aeiou].*ing$") & (F.length(plural) > 5), cut(plural, 3))
-        .when(plural.rlike("[aeiou].*ed$") & ~plural.endswith("ing") & (F.length(plural) > 4), cut(plural, 2))
+        F.when(plural.endswith("ing") & (F.length(plural) > 5) & cut(plural, 3).rlike("[aeiou]"), cut(plural, 3))
+        .when(plural.endswith("ed") & (F.length(plural) > 4) & cut(plural, 2).rlike("[aeiou]"), cut(plural, 2))
         .otherwise(plural)
     )
     return F.when(F.length(word) <= MIN_STEM, word).otherwise(verb)
 
 
+def stem(word: Column) -> Column:
+    """Light English stemmer."""
+    return verb_stem(word, singular_stem(word))
+
+
 def stem_suffix(word: Column) -> Column:
     """The alternative stemmer: the first of -ing, -ed, -es, -s that leaves three letters."""
     out = word
@@ -70,16 +86,21 @@ def parts(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Index tokens of a text, in order, repeats kept."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    kept = F.filter(parts(text), lambda w: (F.length(w) >= MIN_TOKEN) & ~F.array_contains(stop, w))
+    kept = F.filter(parts(text), lambda w: (F.length(w) >= MIN_TOKEN) & ~w.isin(STOPWORDS))
     return F.transform(kept, stem)
 
 
+def token_rows(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, term``: a row per index token. Tokens are exploded before they are stemmed, so both steps are generated code over
+    plain columns instead of lambdas over arrays."""
+    w = docs.select(*keys, F.explode(parts(F.col(text))).alias("_w")).filter((F.length("_w") >= MIN_TOKEN) & ~F.col("_w").isin(STOPWORDS))
+    return w.withColumn("_s", singular_stem(F.col("_w"))).select(*keys, verb_stem(F.col("_w"), F.col("_s")).alias("term"))
+
+
 def probe_prefixes(text: Column) -> Column:
     """Distinct prefixes of the longer words of a request, in the order of their first appearance."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     lowered = F.transform(words(F.coalesce(text, F.lit(""))), F.lower)
-    return F.array_distinct(F.transform(F.filter(lowered, lambda w: (F.length(w) >= PROBE) & ~F.array_contains(stop, w)), lambda w: F.left(w, F.lit(PROBE))))
+    return F.array_distinct(F.transform(F.filter(lowered, lambda w: (F.length(w) >= PROBE) & ~w.isin(STOPWORDS)), lambda w: F.left(w, F.lit(PROBE))))
 
 
 def axes(text: Column) -> Column:

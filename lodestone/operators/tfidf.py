@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import token_rows, tokenize
 
 LENGTH_FLOOR, USAGE_FLOOR, COVERAGE_FLOOR = 30, 20, 4
 PPMI_TERMS, PPMI_PAIRS, PPMI_NEIGHBOURS, EXPANSION = 250, 2, 10, 3
@@ -14,7 +14,7 @@ PPMI_TERMS, PPMI_PAIRS, PPMI_NEIGHBOURS, EXPANSION = 250, 2, 10, 3
 def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, tf, length``: counts of the tokens of each document and its number of tokens. Documents without tokens
     have no row; null keys are left out."""
-    t = docs.filter(F.col(key).isNotNull()).select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    t = token_rows(docs.filter(F.col(key).isNotNull()), [key], text).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return t.withColumn("length", F.sum("tf").over(Window.partitionBy(key)))
 
 
@@ -38,7 +38,7 @@ def weights(counts: DataFrame, documents: DataFrame, key: str) -> DataFrame:
 def scores(queries: DataFrame, query_key: str, text: str, profile: DataFrame, key: str, usage: DataFrame | None = None) -> DataFrame:
     """``query_key, key, score`` of documents that share a term with a query: the sum of query counts times weights, damped for
     short documents, rarely used ones (where usage is known) and few matched terms."""
-    q = queries.select(query_key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("_q"))
+    q = token_rows(queries, [query_key], text).groupBy(query_key, "term").agg(F.count("*").alias("_q"))
     q = q.withColumn("_terms", F.count("*").over(Window.partitionBy(query_key)))
     hit = q.join(profile, "term").groupBy(query_key, key).agg(
         F.sum(F.col("_q") * F.col("weight")).alias("_s"), F.count("*").alias("_matched"), F.first("_terms").alias("_terms"), F.first("length").alias("_length"))
@@ -70,5 +70,5 @@ def ppmi(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def expansions(queries: DataFrame, query_key: str, text: str, indexed: DataFrame, graph: DataFrame) -> DataFrame:
     """``query_key, term, neighbour``: the three strongest neighbours of the query terms that no indexed document has."""
-    q = queries.select(query_key, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
+    q = token_rows(queries, [query_key], text).distinct()
     return q.join(indexed.select("term").distinct(), "term", "left_anti").join(graph.filter(F.col("rank") <= EXPANSION), "term").select(query_key, "term", "neighbour")

@@ -87,14 +87,14 @@ def ppmi_neighbors(spark, d):
 
 def query_expansion(spark, d):
     """Terms of the prompts that no expected answer has, with their neighbours among the symbols."""
-    docs = table(spark, d, "eval_items").select("item_id", F.explode(T.tokenize(F.col("expected_answer"))).alias("term"))
+    docs = T.token_rows(table(spark, d, "eval_items"), ["item_id"], "expected_answer")
     graph = tfidf.ppmi(_symbol_texts(spark, d), "file_path", "names")
     return tfidf.expansions(table(spark, d, "runs").select("request_id", "prompt").distinct(), "request_id", "prompt", docs, graph)
 
 
 def token_idf(spark, d):
     names = table(spark, d, "symbols").select("name").distinct().filter("name is not null")
-    t = names.select("name", F.explode(F.array_distinct(T.tokenize(F.col("name")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    t = T.token_rows(names.select("name", F.col("name").alias("text")), ["name"], "text").distinct().groupBy("term").agg(F.count("*").alias("df"))
     n = names.agg(F.count("*").alias("n"))
     return t.join(F.broadcast(n), F.lit(True)).select("term", "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
 

@@ -10,7 +10,7 @@ from . import sql
 
 
 def tokenize_docs(spark, d):
-    t = table(spark, d, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("term"))
+    t = T.token_rows(table(spark, d, "documents"), [], "text")
     return t.groupBy("term").agg(F.count("*").alias("n"))
 
 
