@@ -63,16 +63,16 @@ def communities(edges: DataFrame, membership: DataFrame) -> DataFrame:
     e = edges.join(m.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(m.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
     n = e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0)).alias("inner"))
     j = m.join(n, "node", "left").select("node", "community", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("inner", F.lit(0)).alias("inner"))
-    top = j.agg(F.max("degree").alias("top"))
-    return j.join(F.broadcast(top), F.lit(True)).select("node", "community", "degree", F.when(F.col("degree") > 0, (F.col("degree") - F.col("inner")) / F.col("degree")).otherwise(0.0).alias("bridge"), F.when(F.col("top") > 0, F.col("degree") / F.col("top")).otherwise(0.0).alias("centrality"))
+    top = j.agg(F.max("degree").alias("top")).scalar()
+    return j.select("node", "community", "degree", F.when(F.col("degree") > 0, (F.col("degree") - F.col("inner")) / F.col("degree")).otherwise(0.0).alias("bridge"), F.when(top > 0, F.col("degree") / top).otherwise(0.0).alias("centrality"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """One row ``modularity``: the sum over communities of in / 2m - (tot / 2m)^2."""
     c = communities(edges, membership)
     per = c.groupBy("community").agg(F.sum("degree").alias("tot"), F.sum(F.col("degree") * (1 - F.col("bridge"))).alias("inn"))
-    total = per.agg(F.sum("tot").alias("m2"))
-    return per.join(F.broadcast(total), F.lit(True)).agg(F.sum(F.when(F.col("m2") > 0, F.col("inn") / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)).otherwise(0.0)).alias("modularity"))
+    total = per.agg(F.sum("tot").alias("m2")).scalar()
+    return per.withColumn("m2", total).agg(F.sum(F.when(F.col("m2") > 0, F.col("inn") / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), 2)).otherwise(0.0)).alias("modularity"))
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -81,8 +81,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, iteration
     shared_dir(edges.sparkSession)
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))
     t = edges.filter("weight > 0").select("src", "dst", share.alias("p")).checkpoint()
-    n = seeds.distinct().agg(F.count("*").alias("n"))
-    start = seeds.distinct().join(F.broadcast(n), F.lit(True)).select("node", (1 / F.col("n")).alias("s")).checkpoint()
+    n = seeds.distinct().agg(F.count("*").alias("n")).scalar()
+    start = seeds.distinct().select("node", (1 / n).alias("s")).checkpoint()
     rank = start.select("node", F.col("s").alias("rank"))
     for _ in range(iterations):
         moved = rank.join(t, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))

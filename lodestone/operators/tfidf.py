@@ -19,7 +19,9 @@ def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count("*").alias("df"))
+    """Documents of each term. The count refers to ``tf`` so that both uses of the counts share one exchange, and texts are
+    tokenised once."""
+    return counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -27,10 +29,10 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def weights(counts: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """``key, term, weight, length``: (1 + ln tf) * idf, of unit length per document. ``documents`` gives the corpus size;
-    its single row is broadcast. An empty corpus counts as one document."""
-    n = documents.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    raw = counts.join(document_frequencies(counts), "term").join(F.broadcast(n), F.lit(True)).withColumn("w", (1 + F.log("tf")) * idf(F.col("n"), F.col("df")))
+    """``key, term, weight, length``: (1 + ln tf) * idf, of unit length per document. ``documents`` gives the corpus size,
+    a scalar subquery. An empty corpus counts as one document."""
+    n = documents.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
+    raw = counts.join(document_frequencies(counts), "term").withColumn("w", (1 + F.log("tf")) * idf(n, F.col("df")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"), "length")
 
@@ -55,14 +57,14 @@ def ppmi(docs: DataFrame, key: str, text: str) -> DataFrame:
     Of each document the alphabetically first 250 distinct tokens count, which bounds its pairs; pairs are counted map-side
     before the shuffle, and terms of fewer than two documents are dropped first, as they can't be in a kept pair."""
     d = docs.filter(F.col(key).isNotNull()).select(key, F.slice(F.array_sort(F.array_distinct(tokenize(F.col(text)))), 1, PPMI_TERMS).alias("terms")).filter(F.size("terms") > 0)
-    n = d.agg(F.count("*").alias("n"))
+    n = d.agg(F.count("*").alias("n")).scalar()
     terms = d.select(key, F.explode("terms").alias("term"))
     df = terms.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= PPMI_PAIRS)
     kept = terms.join(df, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("t"))
     pairs = kept.select(F.explode(F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b["term"] > a["term"]), lambda b: F.struct(a["term"].alias("a"), b["term"].alias("b"), a["df"].alias("da"), b["df"].alias("db")))))).alias("p")).select("p.*")
     co = pairs.groupBy("a", "b", "da", "db").agg(F.count("*").alias("co")).filter(F.col("co") >= PPMI_PAIRS)
-    value = F.log(F.col("co") * F.col("n") / (F.col("da") * F.col("db")))
-    scored = co.join(F.broadcast(n), F.lit(True)).withColumn("ppmi", value).filter("ppmi > 0")
+    value = F.log(F.col("co") * n / (F.col("da") * F.col("db")))
+    scored = co.withColumn("ppmi", value).filter("ppmi > 0")
     both = scored.select(F.col("a").alias("term"), F.col("b").alias("neighbour"), "ppmi").unionByName(scored.select(F.col("b").alias("term"), F.col("a").alias("neighbour"), "ppmi"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.round("ppmi", 9).desc(), "neighbour"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= PPMI_NEIGHBOURS)

@@ -95,8 +95,8 @@ def query_expansion(spark, d):
 def token_idf(spark, d):
     names = table(spark, d, "symbols").select("name").distinct().filter("name is not null")
     t = T.token_rows(names.select("name", F.col("name").alias("text")), ["name"], "text").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    n = names.agg(F.count("*").alias("n"))
-    return t.join(F.broadcast(n), F.lit(True)).select("term", "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
+    n = names.agg(F.count("*").alias("n")).scalar()
+    return t.select("term", "df", F.round(F.log(n / F.col("df")), 6).alias("idf"))
 
 
 def token_overlap_rank(spark, d):
