@@ -121,12 +121,13 @@ def split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """The latest row of each item over its limit, with the limit. The limits are a table of a few languages and broadcast."""
     known = limits.filter("language is not null").groupBy("language").agg(F.max("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
-    other = known.filter("language = '*'").select(F.col("max_tokens").alias("_max"), F.col("overlap_tokens").alias("_overlap"))
+    other = known.filter("language = '*'")
+    most, overlap = (other.agg(F.max(c)).scalar() for c in ("max_tokens", "overlap_tokens"))
     latest = items.filter("item_id is not null").groupBy("item_id").agg(
         F.max_by(F.struct("content", "language"), F.struct(F.coalesce(F.col("packaged_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")), F.length("content"))).alias("i"))
     latest = latest.select("item_id", "i.content", "i.language").filter("content is not null")
-    limited = latest.join(F.broadcast(known), "language", "left").join(F.broadcast(other), F.lit(True), "left")
-    return limited.select("item_id", "content", F.coalesce("max_tokens", "_max").alias("max_tokens"), F.coalesce("overlap_tokens", "_overlap").alias("overlap_tokens")).filter(F.ceil(F.length("content") / CHARS_PER_TOKEN) > F.col("max_tokens"))
+    limited = latest.join(F.broadcast(known), "language", "left")
+    return limited.select("item_id", "content", F.coalesce("max_tokens", most).alias("max_tokens"), F.coalesce("overlap_tokens", overlap).alias("overlap_tokens")).filter(F.ceil(F.length("content") / CHARS_PER_TOKEN) > F.col("max_tokens"))
 
 
 def pieces(items: DataFrame, limits: DataFrame) -> DataFrame:
