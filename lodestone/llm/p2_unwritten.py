@@ -41,6 +41,12 @@ TOOL_NOTICE = re.compile(
     r"|(ce fichier|fichier|code) (est |a été )?(produit|généré|créé)|(este )?(archivo|fichero|código) (es |fue )?(creado|generado|producido)|autogenerado|généré (par|automatiquement)",
     re.I,
 )
+#: Marks that a tool leaves within or below its output, on comment lines of their own, always with the tool's version.
+TOOL_MARK = re.compile(
+    r"^[ \t]*(?://|#|/?\*)[ \t]*-*[ \t]*(?:(?:eof |file )?(?:emitted|written|produced|generated|created|built) by|end of (?:output|file|generated code),?|(?:record|part|chunk|section) \d+ of \d+,)"
+    r"[ \t]+[\w.-]+[ \t]+v?\d+(?:\.\d+)+",
+    re.I | re.M,
+)
 #: Notices that say where a copy comes from.
 COPY_NOTICE = re.compile(
     r"part of (the )?[\w.-]+ (distribution|library|package|project)\b|(copied|imported|vendored|taken|adapted|borrowed) (\w+ )?(from|at|verbatim|unmodified)\b|upstream(:| (source|version|commit))"
@@ -77,7 +83,7 @@ def head_lines(language: str, text: str) -> list[str]:
 
 
 def notices(language: str, repo: str, text: str) -> tuple[bool, bool]:
-    tool = copy = False
+    tool, copy = bool(TOOL_MARK.search(text)), False
     own = (repo or "").lower().split("-")[0]
     for line in head_lines(language, text):
         if TOOL_NOTICE.match(line):

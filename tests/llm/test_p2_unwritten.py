@@ -17,6 +17,7 @@ DATA = ("ROWS = [\n" + "".join(f'    {{"a": {k}, "b": "v{k}"}},\n' for k in rang
     ("r/src/generated/hand.py", HAND, "generated"), ("r/generator/hand.py", HAND, None), ("r/src/x_pb2.py", HAND, "generated"), ("r/src/x.g.ts", b"const a = 1;\n", "generated"),
     ("r/src/a.py", b"# Code generated by tool 1.2. DO NOT EDIT.\n" + HAND, "generated"), ("r/src/b.py", b"#!/usr/bin/env python\n# -*- coding: utf-8 -*-\n# Automatisch erzeugt aus x.csv. Nicht von Hand bearbeiten.\n" + HAND, "generated"),
     ("r/src/c.py", b"# Checks that nobody edits files carrying the @generated marker by hand.\n" + HAND, None), ("r/src/d.py", HAND + b"# Code generated by tool. DO NOT EDIT.\n", None),
+    ("r/src/q.py", HAND + b"\n# EOF written by tool v1.6.7\n", "generated"), ("r/src/r.ts", b"const a = f(1);\n// --- record 2 of 9, tool 1.2.3 ---\nconst b = f(2);\n", "generated"), ("r/src/s.py", HAND + b"\n# The report is written by tool number 3 of 4\n", None),
     ("r/src/e.py", b"# Copyright 2024 the r team, all rights reserved.\n" + HAND, None), ("r/src/f.ts", b"/*\n * Copied from lib (tag v1), local changes: none\n */\nconst a = f(b);\n", "vendored"),
     ("r/src/g.js", NUMBERED, "generated"), ("r/src/h.js", MINIFIED, "minified"), ("r/src/i.min.js", b"a(b);", "minified"),
     ("r/src/j.py", DATA, "data"), ("r/src/k.py", b"X = '" + b"q" * 400 + b"'\n", "data"), ("r/src/l.py", b'"""' + b"words of a long module docstring " * 20 + b'"""\n', None),
