@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from ..operators import packing as K
 from ..sources import files as S
 from ..sources import parsers as L
 from ..session import ship, table
@@ -40,12 +42,21 @@ def parse_decorators(spark, d):
     return x.groupBy("name", F.substring_index("name", ".", -1).alias("last_segment")).agg(F.count("*").alias("symbols"))
 
 
+def call_site_ranges(spark, d):
+    """Lines around the calls that candidates are offered for, eight above and below, merged: the excerpts of compressed files."""
+    ship(spark)
+    c = table(spark, d, "candidates").filter("reason like 'calls %' and file_path is not null")
+    wanted = c.select(P.clean(F.col("file_path")).alias("file_path"), F.substring_index(F.regexp_replace("reason", r"^\S+ ", ""), ".", -1).alias("name")).distinct()
+    calls = L.facts(_latest(spark, d)).filter("fact = 'call'").select("file_path", "name", "start_line").distinct()
+    return K.merged_intervals(calls.join(wanted, ["file_path", "name"]), ["file_path", "name"], "start_line", "start_line", K.CALL_WINDOW)
+
+
 def doc_prose(spark, d):
     f = table(spark, d, "files").filter("file_path is not null").groupBy("repo", "file_path").agg(F.max_by("source_bytes", F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))).alias("source_bytes"))
     return S.doc_prose(f).select("repo", "file_path", F.length("content").cast("bigint").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (parse_symbols, parse_calls, parse_imports, parse_decorators, doc_prose)}
+QUERIES = {f.__name__: f for f in (parse_symbols, parse_calls, parse_imports, parse_decorators, call_site_ranges, doc_prose)}
 
 ORACLE = {
     "parse_symbols": "SELECT DISTINCT file_path, id, name, qualified_name, kind, start_line, end_line, parent_id FROM symbols",

@@ -73,3 +73,14 @@ def export_csv(rows: DataFrame, path: str) -> None:
 
 def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def markdown_table(rows: DataFrame, most: int = 1_000) -> str:
+    """A small result as a Markdown table, in its own order; nulls are dashes. More than ``most`` rows raise an error, as a report
+    is read by people and made by the driver."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    text = lambda v: "-" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join(text(v) for v in r) + " |" for r in got])

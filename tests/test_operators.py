@@ -237,3 +237,10 @@ def test_sources(spark, tmp_path):
     out = spark.createDataFrame([("a", 'say "hi"', ["x", "y"])], "id string, prompt string, files array<string>")
     S.export_csv(out, str(tmp_path / "csv"))
     assert '"a","say ""hi""","2"' in "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string").orderBy("k")
+    assert S.markdown_table(df) == "| k | v |\n|---|---|\n| 1 | a\\|b |\n| 2 | - |"
+    with pytest.raises(ValueError):
+        S.markdown_table(df, 1)
