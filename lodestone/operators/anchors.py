@@ -37,12 +37,11 @@ def keyword_class(text: Column, classes: dict[str, list[str]], noun_suffix: str
             return (T.occurrences(low, F.lit(k)) > T.occurrences(low, F.lit(k + noun_suffix))).cast("int")
         return low.contains(k).cast("int")
 
-    scores = {c: sum((present(k) for k in ks[1:]), present(ks[0])) for c, ks in classes.items()}
-    best = F.greatest(*scores.values())
-    out = F.lit("unknown")
-    for c in reversed(scores):
-        out = F.when((scores[c] == best) & (best > 0), c).otherwise(out)
-    return out
+    scores = F.array(*[sum((present(k) for k in ks[1:]), present(ks[0])) for ks in classes.values()])
+    names = F.array(*[F.lit(c) for c in classes])
+    # Bound as a lambda's variable, the scores are computed once; array_position gives the first of equal ones.
+    best = F.transform(F.array(scores), lambda s: F.when(F.array_max(s) > 0, F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))).otherwise("unknown"))
+    return F.element_at(best, 1)
 
 
 def query_tokens(text: Column) -> Column:

@@ -17,6 +17,8 @@ PROFILES = {
     "performance": {"defines": 0.9, "calls": 1.0, "called": 1.0, "imports": 0.6, "extends": 0.5, "references:": 0.7, "evidence:": 0.3, "*": 0.25},
 }
 ENTRY_BONUS, IMPACT_BONUS, IMPACT_CAP = 0.2, 0.1, 5
+#: Added before scores are rounded, so that ties of the last digit go up whatever the binary value.
+TIE = 1e-9
 DECAY = 0.6
 
 
@@ -38,7 +40,7 @@ def relevance(c: DataFrame, profile: str = "unknown", entry: str = "is_entry", i
     base = F.least(weight(F.col("reason"), profile) + F.when(F.col(entry), ENTRY_BONUS).otherwise(0.0) + F.least(F.col(impact), F.lit(IMPACT_CAP)) / IMPACT_CAP * IMPACT_BONUS, F.lit(1.0))
     for confidence in ("anchor_confidence", "ambiguity_confidence", "path_mask_confidence"):
         base = base * F.coalesce(F.col(confidence), F.lit(1.0))
-    return F.round(base, 4)
+    return F.round(base + TIE, 4)
 
 
 def rank(c: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

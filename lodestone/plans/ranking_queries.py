@@ -143,7 +143,7 @@ def _weight(profile: str) -> str:
 
 def _score(profile: str = "unknown", name: str = "sc") -> str:
     return f"""{name} AS (SELECT c.*, round(least({_weight(profile)} + CASE WHEN coalesce(tier = 'primary', false) THEN 0.2::DOUBLE ELSE 0 END + least(coalesce(impact, 0), 5) / 5 * 0.1::DOUBLE, 1.0::DOUBLE)
-        * coalesce(anchor_confidence, 1.0::DOUBLE) * coalesce(ambiguity_confidence, 1.0::DOUBLE) * coalesce(path_mask_confidence, 1.0::DOUBLE), 4) AS score FROM c LEFT JOIN im USING (file_path))"""
+        * coalesce(anchor_confidence, 1.0::DOUBLE) * coalesce(ambiguity_confidence, 1.0::DOUBLE) * coalesce(path_mask_confidence, 1.0::DOUBLE) + 1e-9::DOUBLE, 4) AS score FROM c LEFT JOIN im USING (file_path))"""
 
 
 _IM = "im AS (SELECT file_path, count(*) AS impact FROM (SELECT DISTINCT id, file_path FROM symbols WHERE id IS NOT NULL) GROUP BY 1)"
