@@ -1,10 +1,11 @@
 """Generated, minified or vendored source files (problem 2).
 
-Each file is lexed and re-emitted in canonical formatting, one statement or bracket to a line; how far the original layout
+Each file is lexed and set against its canonical formatting, one statement or bracket to a line; how far the original layout
 is from it, and what its tokens are, tells most of it:
 
 * extreme expansion, many canonical lines out of one original line, marks minified and bundled script,
-* perfect uniformity, every function one of a single numbered series, marks generated code,
+* perfect uniformity marks generated code: a valid file whose lines hardly differ from the canonical text (``layout``) and
+  whose units, imports aside, repeat a few shapes of tokens; also a file whose functions are all of one numbered series,
 * dominance of literals, with hardly a name among the tokens, marks data written as code.
 
 The rest is told by the path (directories of tools and of third parties, suffixes of tool output) and by a notice at the
@@ -57,7 +58,11 @@ COPYRIGHT = re.compile(r"(?:copyright|\(c\)|©|spdx-filecopyrighttext:)\s*(?:\(c
 _NUMBERED = re.compile(r"\b(?:def|function|fn|func(?:\s*\([^()]*\))?)\s+([A-Za-z_$][\w$]*?)_?(\d+)\s*[(<]")
 _FUNCTION = re.compile(r"^(?:export\s+|default\s+|async\s+|pub(?:\([^)]*\))?\s+|unsafe\s+)*(?:def|function|fn|func)\b", re.M)
 
-FEATURES = "file_path string, repo string, tool_notice boolean, copy_notice boolean, canonical_lines int, code_lines int, tokens int, names int, literals int, literal_chars long, code_chars long, functions int, series int, plain_start boolean, delivered timestamp"
+#: Least share of tokens in units of repeated shapes, least number of such units and of their tokens, and largest share of
+#: lines off the canonical form, of a uniform file.
+REPEATED, REPEATED_UNITS, REPEATED_TOKENS, DEVIATION = 0.9, 12, 80, 0.02
+
+FEATURES = "file_path string, repo string, tool_notice boolean, copy_notice boolean, canonical_lines int, code_lines int, tokens int, names int, literals int, literal_chars long, code_chars long, functions int, series int, plain_start boolean, unit_tokens int, repeated_tokens int, repeated_units int, deviation double, delivered timestamp"
 
 
 def head_lines(language: str, text: str) -> list[str]:
@@ -96,9 +101,14 @@ def notices(language: str, repo: str, text: str) -> tuple[bool, bool]:
     return tool, copy
 
 
+def repeats(tokens: int, repeated: int, units: int) -> bool:
+    return repeated >= REPEATED * tokens and units >= REPEATED_UNITS and repeated >= REPEATED_TOKENS
+
+
 def measure(language: str, text: str) -> tuple:
-    """Figures of the canonical form of a file against its layout."""
-    from . import grammars, lexing
+    """Figures of the canonical form of a file against its layout; the deviation is null where no shapes repeat or the file
+    is not valid, as uniformity needs both."""
+    from . import grammars, layout, lexing
 
     toks = lexing.tokens(language, text)
     cls, at = grammars.classes(language, toks)
@@ -122,14 +132,16 @@ def measure(language: str, text: str) -> tuple:
         code_lines = max(1, sum(1 for x in text.split("\n") if x.strip() and not x.lstrip().startswith(comment)) - sum(toks[k].count("\n") + 1 for k in skip))
     series = Counter(a.lower() for a, _ in _NUMBERED.findall(text))
     first = next((c for k, c in enumerate(cls) if c and c != "\n" and k not in skip), "")
-    return (canonical, code_lines, len(toks) - marks - len(skip), count["i"] + count["m"], count["s"] + count["n"] - len(skip), literal, chars, len(_FUNCTION.findall(text)), max(series.values(), default=0), first not in ("{", "[", "X", "<", "b"))
+    units = layout.repeated_shapes(language, cls)
+    deviation = layout.deviation(language, text) if repeats(*units) and grammars.parse(language, text)[0] == "ok" else None
+    return (canonical, code_lines, len(toks) - marks - len(skip), count["i"] + count["m"], count["s"] + count["n"] - len(skip), literal, chars, len(_FUNCTION.findall(text)), max(series.values(), default=0), first not in ("{", "[", "X", "<", "b"), *units, deviation)
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from . import lexing
 
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    types = [pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    types = [pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
     for batch in batches:
         paths, repos, sources, times = (batch.column(c) for c in ("file_path", "repo", "source_bytes", "delivered"))
         rows = []
@@ -161,7 +173,7 @@ def kind() -> Column:
     tokens = F.greatest("tokens", F.lit(1))
     vendored = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in VENDOR_DIRS.split()])) | F.col("copy_notice")
     minified = name.rlike(MINIFIED_NAME) | (expansion >= 5) & (F.col("canonical_lines") >= 20)
-    uniform = (F.col("series") >= 3) & (F.col("series") >= 0.9 * F.col("functions"))
+    uniform = (F.col("series") >= 3) & (F.col("series") >= 0.9 * F.col("functions")) | F.coalesce(F.col("deviation") <= DEVIATION, F.lit(False))
     generated = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in GENERATED_DIRS.split()])) | name.rlike(GENERATED_NAME) | F.col("tool_notice") | uniform
     data = F.col("plain_start") & (F.col("code_chars") >= 200) & (
         (F.col("names") / tokens < 0.02) & (F.col("literals") / tokens >= 0.3) | (F.col("literal_chars") / F.col("code_chars") >= 0.9))

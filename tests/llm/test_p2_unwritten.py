@@ -36,3 +36,36 @@ def test_only_offered_files_once(spark):
     empty = offered.limit(0)
     assert [r[0] for r in P.found(offered, empty, files).collect()] == ["r/vendor/a.py"]
     assert P.found(empty, empty, files).count() == 0 and P.found(offered, offered, files.limit(0)).count() == 0
+
+
+TYPES = "import { Base } from './base';\n\n" + "".join(f"export interface {n}Message extends Base {{\n    id: number;\n    {n.lower()}: string[];\n}}\n\n" for n in "Ant Bee Cat Dog Elk Fox Gnu Hen Ibis Jay Kite Lynx Mole Newt".split())
+
+
+@pytest.mark.parametrize("path,source,kind", [
+    ("r/src/types.ts", TYPES, "generated"),
+    ("r/src/loose.ts", TYPES.replace(": ", " :").replace("    id", "  id"), None),
+    ("r/src/few.ts", TYPES[: TYPES.index("export interface Dog")], None),
+    ("r/src/codes.go", "package codes\n\n" + "".join(f"const Code{n} = \"{n}\"\n" for n in "Ant Bee Cat Dog Elk Fox Gnu Hen Ibis Jay Kite Lynx Mole Newt Owl Pig Rat Sow Tit Yak".split()), "generated"),
+    ("r/src/tight.py", "".join(f"{n} ='{n}'\n" for n in "abcdefghijklmnopqrstuvwxyz"), None),
+    ("r/src/map.py", "".join(f"{n}:\n  x: {k}\n  - y: [z]\n" for k, n in enumerate("abcdefghijklmnop")), None),
+])
+def test_uniform_layout_and_shapes(spark, path, source, kind):
+    test_kinds(spark, path, source.encode(), kind)
+
+
+@pytest.mark.parametrize("language,text", [
+    ("go", "package a\n\nimport (\n\t\"log\"\n)\n\n// f\nfunc F(x []string, n *T) map[string]int {\n\tfor i := 0; i < n; i++ {\n\t\tlog.Println(x[i], -n)\n\t}\n\treturn map[string]int{\"a\": 1}\n}\n"),
+    ("typescript", "export async function f(a: string, b?: number) {\n  if (!a) {\n    return null;\n  } else {\n    g(a, { b, c: [1, 2] });\n  }\n  const x = a.map((y) => y + 1);\n}\n"),
+    ("java", "public class A {\n    @Override\n    public int f(int[] a, int b) {\n        return a[0] + -1;\n    }\n}\n"),
+    ("rust", "pub(crate) fn f(x: &str) -> Option<u32> {\n    let v = vec![1, 2];\n    Some(v.len() as u32)\n}\n"),
+    ("python", "import os\n\n\ndef f(a, b=1, *c):\n    if not a:\n        return [x for x in b]\n    return {'a': -1}\n"),
+])
+def test_canonical_text(language, text):
+    from lodestone.llm import layout
+
+    assert layout.deviation(language, text) == 0
+    assert layout.deviation(language, text.replace(", ", ",")) > 0
+    if language != "python":  # line ends are Python's syntax
+        flat = " ".join(line for line in text.split("\n") if not line.startswith("//"))
+        assert language == "go" or layout.canonical_text(language, flat).count("\n") >= 3
+    assert layout.canonical_text(language, text).split() == [w for line in text.split("\n") if not line.startswith("//") for w in line.split()]
