@@ -16,6 +16,8 @@ latest ingested row); rows without one are left out. The check is a narrow map o
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -44,26 +46,59 @@ def tiles(answer: list[str], prompt: list[str], least: int = 3) -> tuple[int, in
     """Greedy string tiling: tokens of the answer, and of the prompt, within tiles of at least ``least`` tokens.
 
     The longest match of untiled answer tokens is tiled first. Tiles of the answer don't overlap; the prompt may be used
-    again, as repetition is copying too."""
-    starts: dict[tuple, list[int]] = {}
-    for j in range(len(prompt) - least + 1):
-        starts.setdefault(tuple(prompt[j : j + least]), []).append(j)
-    free, used = [True] * len(answer), [False] * len(prompt)
-    while True:
-        best, at, of = least - 1, 0, 0
-        i = 0
-        while i <= len(answer) - least:
-            for j in starts.get(tuple(answer[i : i + least]), ()) if free[i] else ():
-                n = 0
-                while i + n < len(answer) and j + n < len(prompt) and free[i + n] and answer[i + n] == prompt[j + n]:
-                    n += 1
-                if n > best:
-                    best, at, of = n, i, j
-            i += 1
-        if best < least:
-            return len(answer) - sum(free), sum(used)
-        for k in range(best):
-            free[at + k], used[of + k] = False, True
+    again, as repetition is copying too. Time grows with the texts' lengths, as matches are found by a suffix automaton."""
+    link, step, longest, first = [-1], [{}], [0], [-1]  # suffix automaton of the prompt, with the first end of each state
+    last = 0
+    for k, w in enumerate(prompt):
+        new = len(link)
+        link.append(0), step.append({}), longest.append(k + 1), first.append(k)
+        p = last
+        while p >= 0 and w not in step[p]:
+            step[p][w] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][w]
+            if longest[q] > longest[p] + 1:
+                copy = len(link)
+                link.append(link[q]), step.append(dict(step[q])), longest.append(longest[p] + 1), first.append(first[q])
+                while p >= 0 and step[p].get(w) == q:
+                    step[p][w] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        last = new
+    longest_at, at, n, begin = [0] * len(answer), 0, 0, 0  # of each answer token, the longest match from there on
+    for end, w in enumerate(answer):
+        while at and w not in step[at]:
+            at = link[at]
+            n = longest[at]
+        if w in step[at]:
+            at, n = step[at][w], n + 1
+        while begin <= end - n:
+            longest_at[begin] = end - begin
+            begin += 1
+    for k in range(begin, len(answer)):
+        longest_at[k] = len(answer) - k
+    free, used, taken = [True] * len(answer), [False] * len(prompt), [len(answer)]
+    heap = [(-n, i) for i, n in enumerate(longest_at) if n >= least]
+    heapq.heapify(heap)
+    while heap:
+        n, i = -heap[0][0], heap[0][1]
+        now = min(n, taken[bisect.bisect_left(taken, i)] - i) if free[i] else 0
+        if now < least:
+            heapq.heappop(heap)
+        elif now < n:
+            heapq.heapreplace(heap, (-now, i))
+        else:
+            heapq.heappop(heap)
+            bisect.insort(taken, i)
+            state = 0
+            for k in range(i, i + n):
+                free[k] = False
+                state = step[state][answer[k]]
+            used[first[state] - n + 1 : first[state] + 1] = [True] * n
+    return len(answer) - sum(free), sum(used)
 
 
 def is_copied(prompt: str | None, answer: str) -> bool:
@@ -82,7 +117,7 @@ def is_copied(prompt: str | None, answer: str) -> bool:
     room = 3 + len(a) // 50
     if len(a) - sum(hit) > room:  # tiles consist of such matches, so they can't cover more
         return False
-    of_answer, of_prompt = (sum(hit), len(p)) if len(a) > 4000 else tiles(a, p, least)
+    of_answer, of_prompt = tiles(a, p, least)
     return len(a) - of_answer <= room and of_answer >= 0.6 * len(a) and of_prompt >= 0.6 * len(p)
 
 
@@ -126,11 +161,14 @@ _INLINE = re.compile(r"`[^`\n]*`")
 
 def is_refusal(answer: str) -> bool:
     """Every sentence is derived by the grammar and at least one of them declines."""
-    if len(answer) > 1_000 or "```" in answer:
+    if "```" in answer:
         return False
     declined = False
-    for s in _SENTENCE.split(_INLINE.sub("it", answer.strip())):
-        s = s.strip("-*•# \t")
+    text, start = _INLINE.sub("it", answer.strip()), 0
+    while start <= len(text):
+        m = _SENTENCE.search(text, start)
+        s = text[start : m.start() if m else len(text)].strip("-*•# \t")
+        start = m.end() if m else len(text) + 1
         if not s:
             continue
         if _REFUSAL.fullmatch(s):

@@ -70,3 +70,43 @@ def test_check(spark):
 def test_very_long_answers():
     assert P.defect("a b c d " * 50_000, "a b c d " * 50_000) == "copied"
     assert P.defect(Q, "The cache is full. " * 50_000) is None
+
+
+def test_a_long_refusal_is_a_refusal():
+    refusal = "I'm sorry, but I can't help with that. Please ask the maintainers instead. I hope you understand. "
+    assert P.defect(Q, refusal * 40) == "refusal"
+    assert P.defect(Q, refusal * 40 + "The reader drops rows because the cache is full.") is None
+
+
+def test_a_fragment_of_the_prompt_is_no_copy_at_any_length():
+    prompt = " ".join(f"word{k}" for k in range(300))
+    fragment = " ".join(f"word{k}" for k in range(100)) + ". "
+    assert not P.is_copied(prompt, fragment * 4) and not P.is_copied(prompt, fragment * 60)
+    assert P.is_copied(prompt, (prompt + ". ") * 30)
+
+
+def test_tiling_against_plain_greedy_search():
+    import random
+
+    def plain(answer, prompt, least):
+        free, used = [True] * len(answer), [False] * len(prompt)
+        while True:
+            best = (least - 1, 0, 0)
+            for i in range(len(answer)):
+                for j in range(len(prompt)):
+                    n = 0
+                    while i + n < len(answer) and j + n < len(prompt) and free[i + n] and answer[i + n] == prompt[j + n]:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, i, j)
+            n, i, j = best
+            if n < least:
+                return len(answer) - sum(free), sum(used)
+            free[i : i + n], used[j : j + n] = [False] * n, [True] * n
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        words = "abcd"[: rnd.randrange(1, 5)]
+        a, p = (rnd.choices(words, k=rnd.randrange(0, 25)) for _ in range(2))
+        least = rnd.randrange(1, 4)
+        assert P.tiles(a, p, least) == plain(a, p, least)
