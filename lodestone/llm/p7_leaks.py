@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Both sides are cut into windows of ``WINDOW`` words with one 64-bit SimHash each. A passage of twelve words with a word
-changed, dropped or added still holds an untouched window. The fingerprints of the evaluation windows are indexed by four
+Both sides are cut into windows of ``WINDOW`` words with one 64-bit SimHash each. The fingerprints of the evaluation windows are indexed by four
 blocks of 16 bits: two fingerprints within a Hamming distance of ``RADIUS`` = 3 agree in one block at least, so the look-ups
-find all of them. Where a window hits, weighted word shingles verify exactly: a shingle counts for an item when no
+find all of them. At five words that radius spares no changed word, so a text is also a candidate for a field of which it
+holds ``LEAST_EVIDENCE`` own shingles, found by exact look-up; as verification asks for as many, it loses none that it
+would accept. For candidates, weighted word shingles verify exactly: a shingle counts for an item when no
 other item has it, so wording that items share is no evidence; matched words are chained over gaps of single edits, and the
 chain must span twelve words, hold ``LEAST_EVIDENCE`` of the item's own shingles and be similar by weight.
 
@@ -17,7 +18,7 @@ punctuation, markup, spacing and line breaks don't matter. Extra columns are ign
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,6 +126,7 @@ class Index:
                 self.shingles[x].append((k, pos))
             prints.append(simhashes(v.signs[ids]))
             self.of += [k] * len(prints[-1])
+        self.own = np.array(sorted(x for x in own if x in self.shingles), np.uint64)
         self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
         self.of = np.array(self.of, np.int32)
         blocks = self.prints.view(np.uint16).reshape(-1, 4) if len(self.prints) else np.zeros((0, 4), np.uint16)
@@ -152,6 +154,19 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         return np.concatenate(rows), np.concatenate(cols)
 
+    def sharing(self, shingles: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs (text, evaluation field) with at least ``LEAST_EVIDENCE`` own shingles of the field in the text; ``shingles``
+        are those of texts one after another, which begin at ``begin``."""
+        if not len(self.own) or not len(shingles):
+            return []
+        at = np.flatnonzero(self.own[np.minimum(np.searchsorted(self.own, shingles), len(self.own) - 1)] == shingles)
+        doc = np.searchsorted(begin, at, side="right") - 1
+        inside = at + SHINGLE <= begin[doc] + length[doc]
+        count: Counter[tuple[int, int]] = Counter()
+        for d, x in zip(doc[inside].tolist(), shingles[at[inside]].tolist(), strict=True):
+            count.update((d, f) for f, pos in self.shingles[x] if self.weights[f][pos])
+        return [k for k, n in count.items() if n >= LEAST_EVIDENCE]
+
     def verify(self, shingles: np.ndarray, fields: set[int]) -> list[tuple[int, str, int, float]]:
         """Items, fields, words and similarity of the passages that a text with these shingles holds of these fields."""
         matched: dict[int, list[tuple[int, int]]] = {f: [] for f in fields}
@@ -239,6 +254,8 @@ def _search(documents: DataFrame, texts: list[tuple[int, str, str]], own: dict[i
                     inside = at + WINDOW <= begin[doc] + length[doc]
                     for d, f in zip(doc[inside].tolist(), fields[inside].tolist(), strict=True):
                         hits[d].add(f)
+                for d, f in index.sharing(shingle_hashes(v.hashes[ids]), begin, length):
+                    hits[d].add(f)
                 out: list[list] = [[] for _ in names]
                 doc_ids = part.column(0).to_pylist()
                 for d, fields in hits.items():

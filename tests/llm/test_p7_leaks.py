@@ -79,3 +79,27 @@ def test_random_passages_against_brute_force(spark):
 @pytest.mark.parametrize("text,words", [("a_b c", ["a_b", "c"]), ("_x_ **y**", ["x", "y"])])
 def test_words(text, words):
     assert P.words_of(text) == words
+
+
+def test_edits_that_leave_no_untouched_window(spark):
+    from itertools import combinations
+
+    words = [f"term{k}" for k in range(60)]
+    items = [(1, "s", " ".join(words), None), (2, "s", " ".join(f"other{k}" for k in range(60)), None)]
+    index = P.Index([(1, "task_prompt", items[0][2])], P.own_shingles([(1, "task_prompt", items[0][2])]))
+    texts, want, untouched = [], set(), 0
+    for n in range(12, 21, 2):
+        for edits in (2, 3):
+            for pos in combinations(range(1, n - 1), edits):
+                if all(b - a >= 4 for a, b in zip(pos, pos[1:], strict=False)):
+                    text = [f"edit{k}" if k in pos else words[20 + k] for k in range(n)]
+                    v = P.Vocabulary()
+                    if index.verify(P.shingle_hashes(v.hashes[v.numbers([text])[0]]), {0}):
+                        want.add((len(texts), 1))
+                        untouched += all(b - a <= P.WINDOW for a, b in zip((-1, *pos), (*pos, n), strict=True))
+                    texts.append(" ".join(text))
+    fourth_and_ninth = [f"edit{k}" if k in (3, 8) else words[20 + k] for k in range(12)]
+    want.add((len(texts), 1))
+    texts.append(" ".join(fourth_and_ninth))
+    assert untouched > 0
+    assert leaks(spark, texts, items) == want
