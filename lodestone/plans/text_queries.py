@@ -8,6 +8,12 @@ from ..functions import text as T
 from ..session import table
 from . import sql
 
+#: Words of a question that are no keywords (fixed values).
+NAIVE_STOPWORDS = (
+    "the a an and or but for with without from that this these those into onto not are was were been has have had how why what when "
+    "where does add explain summarize debug trace investigate refactor path"
+).split()
+
 
 def tokenize_docs(spark, d):
     t = T.token_rows(table(spark, d, "documents"), [], "text")
@@ -53,13 +59,20 @@ def qualified_refs(spark, d):
 
 
 def keyword_rank(spark, d):
-    """Whole words of each item's first probe prefixes, counted in every document; the ten best documents of each item."""
+    """All keywords of each item's question, counted as parts of words in every document; the ten best documents of each item.
+
+    Keywords lie within runs of word characters, so each is counted once in every distinct word, not in every text.
+    Texts are shuffled once, by document."""
     from pyspark.sql import Window
 
-    q = table(spark, d, "eval_items").select("item_id", F.explode(F.slice(T.probe_prefixes(F.col("task_prompt")), 1, 3)).alias("prefix"))
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(T.words(F.lower("text"))).alias("w")).filter(F.length("w") >= T.PROBE)
-    hits = docs.groupBy("doc_id", F.left("w", F.lit(T.PROBE)).alias("prefix")).agg(F.count("*").alias("n"))
-    s = q.join(hits, "prefix").groupBy("item_id", "doc_id").agg(F.sum("n").alias("hits"))
+    keywords = F.regexp_extract_all(F.lower("task_prompt"), F.lit("[a-z][a-z0-9_]{2,}"), F.lit(0))
+    q = table(spark, d, "eval_items").select("item_id", F.explode(keywords).alias("keyword")).filter(~F.col("keyword").isin(NAIVE_STOPWORDS)).distinct()
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{3,}"), F.lit(0))).alias("w")
+    inside = docs.select(w).distinct().join(F.broadcast(q.select("keyword").distinct()), F.expr("contains(w, keyword)"))
+    found = inside.select("w", "keyword", T.occurrences(F.col("w"), F.col("keyword")).alias("times"))
+    hits = docs.repartition("doc_id").select("doc_id", w).join(F.broadcast(found), "w").groupBy("doc_id", "keyword").agg(F.sum("times").alias("n"))
+    s = hits.join(F.broadcast(q), "keyword").groupBy("doc_id", "item_id").agg(F.sum("n").alias("hits")).select("item_id", "doc_id", "hits")
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))).filter("rank <= 10")
 
 
