@@ -9,8 +9,8 @@ them. That radius spares one changed word of eleven (about 6 bits where the new
 
 For the candidates, weighted word shingles verify exactly: a shingle that several items have weighs nothing, as shared wording is
 no evidence, any other the mean inverse item frequency of its words. Shared shingles of a document and an item are chained over the
-gaps of single edits; the best chain by evidence less ``SIMILARITY`` of what it covers must span the passage, hold
-``LEAST_EVIDENCE`` of the item's own shingles and be similar by weight.
+gaps of single edits; the best chain by evidence less ``SIMILARITY`` of what it covers must hold ``LEAST_EVIDENCE``
+of the item's own shingles, be similar by weight and span the passage, the words beyond an edit near its ends included.
 
 The corpus is read once by a map, whatever the number of items; nothing is shuffled but the few pairs found. The items are the
 stated query set. Their weights are computed as tables; the driver passes them on in blocks of about ``BLOCK_CHARS`` characters, one
@@ -171,12 +171,32 @@ class Index:
                     matched[f].append((at, pos))
         out = []
         for f, hits in matched.items():
-            best = self.best_chain(f, hits)
+            best = self.best_chain(f, hits, ids)
             if best:
                 out.append((self.fields[f][0], self.fields[f][1], *best))
         return out
 
-    def best_chain(self, f: int, hits: list[tuple[int, int]]) -> tuple[int, float] | None:
+    def beyond(self, f: int, text: np.ndarray, at: int, pos: int, step: int) -> tuple[int, int]:
+        """Words of a text and a field that go on beyond one edit next to matched words which end at ``at`` and ``pos``."""
+        words, ids, best = self.fields[f][2], self.ids, (0, 0)
+        for da, dp in ((2, 2), (2, 1), (1, 2)):  # a word changed, added, dropped
+            n = 0
+            while 0 <= at + step * (da + n) < len(text) and 0 <= pos + step * (dp + n) < len(words) and text[at + step * (da + n)] == ids[words[pos + step * (dp + n)]]:
+                n += 1
+            if n and n + dp > best[1]:
+                best = (n + da - 1, n + dp - 1)
+        return best
+
+    def spans(self, f: int, text: np.ndarray, a: int, p: int, at: int, pos: int) -> bool:
+        """Whether matched words from ``a, p`` to ``at, pos`` make a passage: alone, or with what goes on beyond an edit on either side."""
+        if min(at - a, pos - p) + 1 >= PASSAGE_WORDS - 1:
+            return True
+        if min(at - a, pos - p) + 1 < PASSAGE_WORDS - 4:
+            return False
+        before, after = self.beyond(f, text, a, p, -1), self.beyond(f, text, at, pos, 1)
+        return at - a + 1 + before[0] + after[0] >= PASSAGE_WORDS - 1 and pos - p + 1 + before[1] + after[1] >= PASSAGE_WORDS
+
+    def best_chain(self, f: int, hits: list[tuple[int, int]], text: np.ndarray) -> tuple[int, float] | None:
         """The longest passage among the best chains that end at each matched shingle; chains go forward on both sides with small
         gaps. A shingle has one best chain: evidence less ``SIMILARITY`` of the weight covered, the longer of equal ones."""
         w, sums = self.weights[f], self.sums[f]
@@ -195,7 +215,7 @@ class Index:
             score, own = score + (1 - SIMILARITY) * mine, own + (mine > 0)
             ends[at, pos] = (score, a, p, own)
             span = min(at - a, pos - p) + SHINGLE
-            if span >= PASSAGE_WORDS - 1 and own >= LEAST_EVIDENCE and (best is None or span > best[0]):
+            if own >= LEAST_EVIDENCE and (best is None or span > best[0]) and self.spans(f, text, a, p, at + SHINGLE - 1, pos + SHINGLE - 1):
                 covered = sums[pos + 1] - sums[p]
                 best = (span, min(1.0, score / covered + SIMILARITY))
         return best
