@@ -1,18 +1,26 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Each text is cut into blocks; code, logs, tables and quoted code are set aside, and of the rest a block is either sentences
-or a list of keywords, links, tags, products or menu entries. Four figures describe a document: the density of such lists
-(their share of the text), the share of function words, the entropy of its words and the repetition of its word pairs.
-
-The figures' centre and scatter are estimated robustly for each language over all documents: medians and median deviations
-first, then mean and covariance of the documents near them, re-estimated from those within the cut-off of the Mahalanobis
-distance. A document is spam when it is an outlier by that distance, lies in the direction of spam, and lists make up more
-than half of its text, which is the definition.
-
-The estimates are a few numbers of at most ``len(LANGUAGES) + 1`` groups; the figures are checkpointed (a few numbers per
-document) between the passes. Null and blank texts are no spam. Languages are taken from the first two letters of ``lang``; all
-others form one group, and a group of fewer than ``LEAST`` documents uses the estimates of all documents, a corpus of fewer a
-fixed centre. Extra columns are ignored.
+Four figures describe a document, none of which knows a language:
+
+* density: the share of its text that is neither sentences nor code, logs, tables or change logs, that is, in links, tags, keywords and
+  names. A sentence is told by its form: a closed run of five words or more that begins like one, has a short word, few commas and no
+  repeated wording,
+* function words: the share of its words that the corpus itself shows to be function words of a language (``learnt``: the
+  short words that most documents of that language have),
+* entropy of its words, and repetition of its word pairs.
+
+The figures' centre and scatter are estimated robustly for each language over all documents: median and median deviation, then
+mean and covariance of the documents near them, twice, from a histogram of the figures (``BINS`` to a figure, so a language has a
+bounded number of cells, whatever the corpus). Small groups lean on the estimate of all documents, and that on ``PRIOR``, by
+``LEAN`` documents' weight, so nothing is switched by size. A document is spam when it is an outlier by its Mahalanobis distance, lies
+towards spam (``TOWARDS`` is the least cosine), and its density is more than half, which is the definition.
+
+Two passes: one counts short words (the only part run while the query is defined; its result is at most ``WORDS`` words a
+language), the other measures; its figures, a few numbers per document, are exchanged once for both histogram and verdict.
+
+Null and blank texts are no spam. Languages are taken from the first two letters of ``lang``; other values form one group. In a
+language of which the corpus has few documents no function words are known, so there density and wording must tell. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,34 +31,41 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from .p5_pairs import _LANGUAGE_OF
-
-LANGUAGES = ["en", "de", "es", "fr"]
 FIGURES = ["density", "function_words", "entropy", "repetition"]
 #: Where spam lies on each figure.
 DIRECTION = [1, -1, -1, 1]
-#: Least standard deviation of each figure: most documents have no list at all, so the robust scatter of density alone is nothing.
-FLOOR = [0.05, 0.03, 0.02, 0.03]
-#: Squared distance beyond which a document is an outlier: the 0.999 quantile of chi squared with four degrees of freedom.
-CUTOFF = 18.467
-LEAST = 50
-ROUNDS = 2
-#: Centre of ordinary documents, and its spread in floors, for corpora of fewer than ``LEAST`` documents in all.
-PRIOR, PRIOR_SPREAD = [0.0, 0.33, 0.95, 0.05], 3
+#: Least standard deviation of each figure. That of density is wide, as unpunctuated lists of prose are no spam: density alone, four
+#: deviations at most, makes no outlier.
+FLOOR = [0.25, 0.05, 0.04, 0.05]
+#: Squared distance beyond which a document is an outlier: the 0.99 quantile of chi squared with four degrees of freedom.
+CUTOFF = 13.277
+TOWARDS, ROUNDS, BINS, AGAIN = 0.25, 2, 25, 4
+#: Centre of ordinary documents, which ``LEAN`` documents' weight of every estimate leans on.
+PRIOR, LEAN = [0.05, 0.3, 0.93, 0.05], 20
+#: Function words: at most so many letters, in at least this share of a language's documents, at most so many.
+LETTERS, COMMON, WORDS = 4, 0.25, 60
 
 _LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)\S+", re.I | re.S)
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _BLANK = re.compile(r"\n[ \t]*\n")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[ T]|\[?\d\d:\d\d(?::\d\d)?\S* .*\b(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b|File \"|Traceback|\w+(?:Error|Exception)\b|at [\w.$]+\()")
+#: Words; in scripts without spaces, pairs of letters.
 _WORD = re.compile(r"[^\W\d_]+")
-_CODE_MARK = re.compile(r"[(){}\[\]=]|;$|=>|->", re.M)
-_PIECE = re.compile(r"(?<=[.!?])\s+|\n+")
-_SENTENCE = re.compile(r"(?:[-*•]\s+|\d+[.)]\s+|\w+:\s+)?[\"“(`]?[^\W\d_a-zß-ÿ`]?[`\w].*[.!?][\"”)]?", re.S)
+_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+_PAIR = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+|[぀-ヿ㐀-鿿가-힯]{1,2}")
+_SHORT = re.compile(rf"(?<![^\W\d_])[^\W\d_]{{1,{LETTERS}}}(?![^\W\d_])")
+#: Between pieces: after closing punctuation, and at line ends unless the line goes on in lower case.
+_PIECE = re.compile(r"(?<=[.!?…])(?:[\"')]|[^\x00-\x7f\s])*\s+|(?<=[。！？])\s*|\n+(?![^\W\d_A-ZÀ-Þ])|\n\n+")
+_OPENING = re.compile(r"(?:[-*•>+]\s+|\d+[.)]\s+|#+\s+|[*_`]*\w{1,40}[*_`]*:[*_`]*\s+)*[\"“„«(`*_]*")
+#: The end of a sentence, perhaps with one more token stuck to it.
+_CLOSED = re.compile(r"[\w`)\]\"”'’*%][.!?…。！？]\S{0,12}$")
+_VERSION = re.compile(r"\s*(?:#+\s*)?\[?v?\d+\.\d+(?:\.\d+)?\S*\s*(?:[(-].*)?$|\s*#+\s*(?:change ?log|\[?unreleased)", re.I)
+_ITEM = re.compile(r"\s*[-*•+]\s+")
 
 
 def pairs_repeated(words: list[str]) -> float:
@@ -59,147 +74,194 @@ def pairs_repeated(words: list[str]) -> float:
     return 1 - len(set(zip(words, words[1:], strict=False))) / n if n > 0 else 0.0
 
 
-def in_sentences(text: str) -> float:
-    """Share of a text in well-formed sentences: five words or more, one of them a function word, no pair repeated, closed."""
-    total = good = 0
-    for piece in _PIECE.split(text):
-        total += len(piece)
-        words = _WORD.findall(piece.lower())
-        if len(words) >= 5 and any(w in _LANGUAGE_OF for w in words) and pairs_repeated(words) <= 0.1 and piece.count(",") * 4 <= len(words) and _SENTENCE.fullmatch(piece.strip()):
-            good += len(piece)
-    return good / max(1, total)
+def words_of(text: str) -> list[str]:
+    return (_WORD if text.isascii() or not _UNSPACED.search(text) else _PAIR).findall(text.lower())
 
 
-def is_list(block: str, words: list[str], links: int, link_chars: int, rest: str) -> bool:
-    """Whether a block, neither code, log nor table, is a list of keywords or links instead of sentences."""
-    if link_chars > 0.3 * len(block) and len(words) < 5 * links:
-        return True
-    if len(words) < 5 or len(_CODE_MARK.findall(rest)) > 0.03 * len(rest):
-        return False
-    share = sum(w in _LANGUAGE_OF for w in words) / len(words)
-    if share >= 0.22:
-        return False
-    if pairs_repeated(words) > 0.45:
+def code_marks(text: str) -> int:
+    return sum(map(text.count, "(){}[]=")) + text.count(";\n") + text.endswith(";") + text.count("->")
+
+
+def begins(sentence: str) -> bool:
+    """Whether a piece begins like a sentence: not in lower case, marks of lists, labels and quotes aside."""
+    first = sentence[:1]
+    if not first.isupper():
+        first = sentence[_OPENING.match(sentence).end() :][:1]
+    return not first.islower()
+
+
+def in_sentences(text: str, seen: Counter[str]) -> int:
+    """Characters of a text in sentences; ``seen`` counts the sentences of the document so far. One that is repeated more than
+    ``AGAIN`` times is repeated keywords."""
+    good = 0
+    for piece in _PIECE.split(text):
+        low = piece.lower()
+        words = low.split() if piece.isascii() or not _UNSPACED.search(piece) else words_of(piece)
+        n = len(words)
+        if n < 5 or piece.count(",") * 4 > n or min(map(len, words)) > 3:
+            continue
+        if len(set(words)) < n and len(set(zip(words, words[1:], strict=False))) < 0.9 * (n - 1):
+            continue
+        body = piece.strip()
+        if _CLOSED.search(body, max(0, len(body) - 15)) and begins(body):
+            seen[low] += 1
+            if seen[low] <= 1 + AGAIN:
+                good += len(piece)
+    return good
+
+
+def set_aside(lines: list[str], size: int, text: str, words: list[str]) -> bool:
+    """Whether a block is a log, a table, code or quoted code."""
+    half = size / 2
+    if (":" in text or "(" in text) and sum(len(x) for x in lines if _LOG.match(x)) > half or "|" in text and sum(len(x) for x in lines if x.startswith("|") and x.endswith("|")) > half:
         return True
-    return share < 0.12 and in_sentences(rest) < 0.5
+    marks = code_marks(text)
+    if ">" in text and sum(len(x) for x in lines if x.startswith(">")) > half:
+        return len(words) < 20 or marks > 0.01 * len(text)
+    return marks > 0.03 * len(text)
 
 
-def figures(text: str | None) -> tuple[float, float, float, float] | None:
+def figures(text: str | None, lists: list[frozenset[str]]) -> tuple[float, float, float, float] | None:
+    """The four figures of a text; ``lists`` are the function words of each language."""
     if not text or text.isspace():
         return None
-    listed, every = 0, []
+    listed, every, seen = 0, [], Counter()
     fences = sum(len(m.group()) for m in _FENCE.finditer(text))
-    total = fences
+    total, versioned = fences, False
     for block in _BLANK.split(_FENCE.sub("\n\n", text) if fences else text):
         block = block.strip()
         if not block:
             continue
         total += len(block)
         lines = block.split("\n")
-        half = len(block) / 2
-        if sum(len(x) for x in lines if _LOG.match(x)) > half or sum(len(x) for x in lines if x.startswith("|") and x.endswith("|")) > half:
-            continue
-        quoted = sum(len(x) for x in lines if x.startswith(">")) > half
+        log, versioned = versioned, bool(_VERSION.match(lines[0]))
         found = _LINK.findall(block) if "](" in block or "http" in block or "www." in block or "<a " in block else ()
+        linked = sum(map(len, found))
         rest = _LINK.sub(" ", block) if found else block
-        words = _WORD.findall(rest.lower())
-        if quoted and (len(words) < 20 or len(_CODE_MARK.findall(rest)) > 0.01 * len(rest)):
+        words = words_of(rest)
+        crowded = linked > 0.3 * len(block) and len(words) < 5 * len(found)
+        if not crowded and set_aside(lines, len(block), rest, words):
             continue
-        every += _WORD.findall(block.lower()) if found else words  # the words of links are words of the page
-        if is_list(block, words, len(found), sum(map(len, found)), rest):
+        every += words_of(block) if found else words  # the words of links are words of the page
+        if crowded:
             listed += len(block)
+        elif (log or versioned) and not found and sum(len(x) for x in lines if _ITEM.match(x) and len(x.split()) > 3) > len(block) / 2:
+            continue  # the entries of a change log
+        elif len(words) >= 5:
+            listed += max(0, len(block) - linked - in_sentences(rest, seen))
     n = len(every)
     if not n:
-        return listed / max(1, total), 0.0 if listed else 0.3, 0.0 if listed else 1.0, 1.0 if listed else 0.0
+        return listed / max(1, total), 0.0 if listed else PRIOR[1], 0.0 if listed else PRIOR[2], 1.0 if listed else 0.0
     count = Counter(every)
     h = math.log(n) - sum(c * math.log(c) for c in count.values()) / n
-    return listed / total, sum(c for w, c in count.items() if w in _LANGUAGE_OF) / n, h / math.log(n) if n > 1 else 1.0, pairs_repeated(every)
+    share = max((sum(map(count.__getitem__, ws.intersection(count))) / n for ws in lists), default=PRIOR[1])
+    return min(1.0, listed / total), share, h / math.log(n) if n > 1 else 1.0, pairs_repeated(every)
 
 
-def figure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [figures(t) for t in b.column("text").to_pylist()]
-        columns = [pa.array([r[k] if r else None for r in rows], pa.float64()) for k in range(len(FIGURES))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], ["doc_id", "lang", *FIGURES])
+def language(column: str = "lang") -> Column:
+    """The first two letters of a language in lower case, ``other`` for what isn't two letters."""
+    two = F.lower(F.substring(column, 1, 2))
+    return F.when(two.rlike("^[a-z]{2}$"), two).otherwise("other").alias("lang")
 
 
-def measured(documents: DataFrame) -> DataFrame:
+def short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch and language, the number of documents that have each short word; the empty word counts all documents."""
+    for b in batches:
+        count: Counter[tuple[str, str]] = Counter()
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if text and not text.isspace():
+                count.update((lang, w) for w in {"", *_SHORT.findall(text.lower())})
+        langs, words = zip(*count, strict=True) if count else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(count.values(), pa.int64())], ["lang", "word", "n"])
+
+
+def learnt(documents: DataFrame) -> list[frozenset[str]]:
+    """The function words of every language, from all documents: its short words that at least ``COMMON`` of its documents have,
+    the ``WORDS`` most common; languages of fewer than ``LEAN`` documents have none."""
+    n = documents.select(language(), "text").mapInArrow(short_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    per = n.groupBy("lang").agg(F.max("n").alias("all"))  # all documents have the empty word
+    # The condition needs both sides, so neither is filtered before their common exchange.
+    common = n.join(F.broadcast(per), "lang").filter((F.col("n") >= COMMON * F.col("all")) & F.when(F.col("all") >= LEAN, F.col("word") != ""))
+    top = common.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, WORDS).alias("w"))
+    return [frozenset(x["word"] for x in r["w"]) for r in top.orderBy("lang").collect()]
+
+
+def measured(documents: DataFrame, lists: list[frozenset[str]]) -> DataFrame:
     """``doc_id, lang, density, function_words, entropy, repetition``; the figures of blank texts are null."""
-    lang = F.lower(F.substring("lang", 1, 2))
-    lang = F.when(lang.isin(LANGUAGES), lang).otherwise("other").alias("lang")
-    return documents.select("doc_id", lang, "text").mapInArrow(figure_batches, "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FIGURES))
-
-
-def distance(estimates: dict[str, tuple[np.ndarray, np.ndarray]]) -> Column:
-    """Squared Mahalanobis distance of a row from its language's centre; the matrices are literals of at most five groups."""
-    out = None
-    for lang, (centre, inverse) in estimates.items():
-        d = F.lit(0.0)
-        for i, a in enumerate(FIGURES):
-            for j, b in enumerate(FIGURES):
-                d = d + F.lit(float(inverse[i, j])) * (F.col(a) - float(centre[i])) * (F.col(b) - float(centre[j]))
-        out = F.when(F.col("lang") == lang, d) if out is None else out.when(F.col("lang") == lang, d)
-    return out
-
-
-def _inverse(covariance: np.ndarray) -> np.ndarray:
-    """Inverse of a covariance whose variances are raised to the floors."""
-    c = covariance.copy()
-    for k, f in enumerate(FLOOR):
-        c[k, k] = max(c[k, k], 0) + f * f
-    return np.linalg.inv(c)
-
-
-def robust(figs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Centre and inverse scatter of each language, from all documents."""
-    groups = [*LANGUAGES, "other"]
-    every = figs.filter(F.col(FIGURES[0]).isNotNull()).withColumn("g", F.explode(F.array("lang", F.lit("*"))))
-    middle = {r["g"]: r for r in every.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FIGURES]).collect()}
-    if not middle:
-        return {}
-    if middle["*"]["n"] < LEAST:
-        prior = (np.array(PRIOR), np.linalg.inv(np.diag([(PRIOR_SPREAD * f) ** 2 for f in FLOOR])))
-        return dict.fromkeys(groups, prior)
-    usable = {g: g if g in middle and middle[g]["n"] >= LEAST else "*" for g in groups}
-    centre = {g: np.array([middle[usable[g]][f] for f in FIGURES]) for g in groups}
-    dev = [F.abs(F.col(f) - sum_when({g: centre[g][k] for g in groups})).alias(f) for k, f in enumerate(FIGURES)]
-    spread = {r["lang"]: r for r in figs.select("lang", *dev).groupBy("lang").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FIGURES]).collect()}
-    estimates = {}
-    for g in groups:
-        mad = np.array([1.4826 * (spread[g][f] or 0.0) if g in spread else 0.0 for f in FIGURES])
-        estimates[g] = (centre[g], _inverse(np.diag(mad**2)))
-    for _ in range(ROUNDS):
-        near = figs.withColumn("_d", distance(estimates)).filter(F.col("_d") <= CUTOFF).withColumn("g", F.explode(F.array("lang", F.lit("*"))))
-        moments = [F.avg(f).alias(f) for f in FIGURES] + [F.covar_pop(a, b).alias(f"{a}.{b}") for i, a in enumerate(FIGURES) for b in FIGURES[i:]]
-        rows = {r["g"]: r for r in near.groupBy("g").agg(F.count("*").alias("n"), *moments).collect()}
-        for g in groups:
-            r = rows.get(g if g in rows and rows[g]["n"] >= LEAST else "*")
-            if r is None:
-                continue
-            c = np.array([[r[f"{FIGURES[min(i, j)]}.{FIGURES[max(i, j)]}"] for j in range(len(FIGURES))] for i in range(len(FIGURES))])
-            estimates[g] = (np.array([r[f] for f in FIGURES]), _inverse(c))
-    return estimates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [figures(t, lists) for t in b.column("text").to_pylist()]
+            columns = [pa.array([r[k] if r else None for r in rows], pa.float64()) for k in range(len(FIGURES))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], ["doc_id", "lang", *FIGURES])
+
+    return documents.select("doc_id", language(), "text").mapInArrow(run, "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FIGURES))
 
 
-def sum_when(values: dict[str, float]) -> Column:
-    out = F.when(F.lit(False), F.lit(0.0))
-    for g, v in values.items():
-        out = out.when(F.col("lang") == g, F.lit(float(v)))
-    return out
+def _middle(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    total = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(total, total[-1] / 2)])
+
+
+def _with_floor(scatter: np.ndarray) -> np.ndarray:
+    return scatter + np.diag(np.square(FLOOR))
+
+
+def estimate(x: np.ndarray, n: np.ndarray, centre: np.ndarray, scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Robust centre and scatter of figures ``x`` with multiplicities ``n``, leaning on a given estimate."""
+    share = n.sum() / (n.sum() + LEAN)
+    lean = lambda c, s: (share * c + (1 - share) * centre, share * s + (1 - share) * scatter)
+    c = np.array([_middle(x[:, k], n) for k in range(x.shape[1])])
+    mad = np.array([1.4826 * _middle(np.abs(x[:, k] - c[k]), n) for k in range(x.shape[1])])
+    c, s = lean(c, np.diag(mad**2))
+    for _ in range(ROUNDS):
+        d = x - c
+        near = np.einsum("ij,jk,ik->i", d, np.linalg.inv(_with_floor(s)), d) <= CUTOFF
+        if not near.any():
+            break
+        m = np.average(x[near], axis=0, weights=n[near])
+        d = x[near] - m
+        c, s = lean(m, np.einsum("i,ij,ik->jk", n[near] / n[near].sum(), d, d))
+    return c, s
+
+
+def centres(cells: pd.DataFrame) -> pd.DataFrame:
+    """Centre and inverse scatter of every language of a histogram of bin numbers; ``*`` are all documents."""
+    cells = cells.dropna(subset=FIGURES)
+    x, n, langs = (cells[FIGURES].to_numpy(float) + 0.5) / BINS, cells["n"].to_numpy(float), cells["lang"].to_numpy()
+    prior = np.array(PRIOR), np.zeros((len(FIGURES), len(FIGURES)))
+    every = estimate(x, n, *prior) if len(n) else prior
+    out = []
+    for lang in sorted(set(langs)):
+        at = langs == lang
+        c, s = estimate(x[at], n[at], *every)
+        out.append((lang, c.tolist(), np.linalg.inv(_with_floor(s)).ravel().tolist(), np.sqrt(np.diag(_with_floor(s))).tolist()))
+    return pd.DataFrame(out, columns=["of", "centre", "inverse", "deviation"])
 
 
 def scored(documents: DataFrame) -> DataFrame:
-    """Figures of every document with its squared distance and whether it lies in spam's direction."""
-    shared_dir(documents.sparkSession)
-    figs = measured(documents).checkpoint()
-    estimates = robust(figs)
-    if not estimates:
-        return figs.withColumn("distance", F.lit(None).cast("double")).withColumn("towards", F.lit(False))
-    toward = F.lit(0.0)
-    for k, f in enumerate(FIGURES):
-        toward = toward + DIRECTION[k] / FLOOR[k] * (F.col(f) - sum_when({g: e[0][k] for g, e in estimates.items()}))
-    return figs.withColumn("distance", distance(estimates)).withColumn("towards", toward > 0)
+    """Figures of every document with its squared distance and how far it lies towards spam, a cosine.
+
+    Histogram and verdict read one exchange of the figures, so no filter may move below it: the join is null-safe and the
+    figures stand within ``coalesce``."""
+    figs = measured(documents, learnt(documents)).repartition("doc_id")
+    bins = [F.least(F.floor(F.col(f) * BINS), F.lit(BINS - 1)).cast("int").alias(f) for f in FIGURES]
+    cells = figs.select("lang", *bins).groupBy("lang", *FIGURES).agg(F.count("*").alias("n")).withColumn("whole", F.lit(True))
+    known = cells.groupBy("whole").applyInPandas(centres, "of string, centre array<double>, inverse array<double>, deviation array<double>")
+    j = figs.join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("of")), "left")
+    k = len(FIGURES)
+    x = [F.coalesce(F.col(f), F.lit(float("nan"))) for f in FIGURES]
+    d = [x[i] - F.coalesce("centre", F.array())[i] for i in range(k)]
+    inverse, deviation = F.coalesce("inverse", F.array()), F.coalesce("deviation", F.array())
+    distance = sum(inverse[i * k + m] * d[i] * d[m] for i in range(k) for m in range(k))
+    z = [d[i] / deviation[i] for i in range(k)]
+    length = F.sqrt(sum(v * v for v in z) * k)
+    towards = F.when(length > 0, sum(s * v for s, v in zip(DIRECTION, z, strict=True)) / length).otherwise(0.0)
+    measured_ = lambda c: F.when(~F.isnan(x[0]), c)
+    return j.select("doc_id", "lang", *FIGURES, measured_(distance).alias("distance"), measured_(towards).alias("towards"))
 
 
 def found(documents: DataFrame) -> DataFrame:
-    return scored(documents).filter((F.col("distance") > CUTOFF) & F.col("towards") & (F.col("density") > 0.5)).select("doc_id")
+    is_spam = (F.col("distance") > CUTOFF) & (F.col("towards") > TOWARDS) & (F.coalesce("density", F.lit(0.0)) * F.signum("distance") > 0.5)
+    return scored(documents).filter(is_spam).select("doc_id")

@@ -51,9 +51,44 @@ def test_small_and_empty_tables(spark):
     assert P.found(spark.createDataFrame([(1, None, None)], "doc_id long, text string, lang string")).count() == 0
 
 
+POLISH = "Czytnik trzyma indeks w porządku i nikt nie musi do niego zaglądać. Kiedy kolejka jest pełna, worker usuwa najstarsze wiersze. Nie wiadomo jeszcze, czy to jest błąd, ale zespół już nad tym pracuje."
+RUSSIAN = "Индекс перестраивается после каждого запуска, и никто не знает почему. Если очередь пуста, задание ждёт и ничего не делает. На этой неделе мы не будем менять порядок шагов."
+DUTCH = "De lezer houdt de index op orde en niemand hoeft er twee keer naar te kijken. Als de wachtrij vol is, verwijdert de werker de oudste rijen. Het is nog niet bekend of dat een fout is."
+
+
+def test_languages_that_the_corpus_does_not_know(spark):
+    texts = corpus() + [f"{t}\n\n{t} {k}." for t in (POLISH, RUSSIAN, DUTCH) for k in range(3)] + ["这是一个很长的句子，没有人知道为什么它还在这里。读者保持索引有序。"]
+    assert found(spark, texts, "en") == set() and found(spark, texts, "pl") == set()
+
+
+def test_distance_decides(spark):
+    """A list of plain prose without full stops is dense, but no outlier; the same list of keywords is one."""
+    notes = "\n".join(f"- {p.rstrip('.').lower()}" for p in PROSE)
+    base = corpus()
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*base, notes, LIST["words"]])], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in P.scored(docs).collect()}
+    assert rows[len(base)]["density"] > 0.5 and rows[len(base)]["distance"] < P.CUTOFF
+    assert {r["doc_id"] for r in P.found(docs).collect()} == {len(base) + 1}
+
+
+def test_function_words_are_learnt(spark):
+    docs = spark.createDataFrame([(k, f"{p} Note {k}.", "sv") for k, p in enumerate(PROSE * 8)] + [(99, LIST["words"], "sv")], "doc_id long, text string, lang string")
+    (words,) = P.learnt(docs)
+    assert {"the", "is", "of"} <= words and not {"best", "free", "top"} & words
+
+
+def test_repeated_rows_and_null_ids(spark):
+    base = corpus()
+    rows = [(k, t, "en") for k, t in enumerate(base)] + [(None, LIST["menu"], "en"), (7, LIST["menu"], "en"), (7, LIST["menu"], "en")]
+    got = [r["doc_id"] for r in P.found(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert sorted(got, key=str) == [7, 7, None]
+
+
 def test_figures():
-    assert P.figures(None) is None and P.figures("  ") is None
-    d, f, e, r = P.figures(PROSE[0])
+    words = [frozenset("the in it of to is and at not has a by".split())]
+    assert P.figures(None, words) is None and P.figures("  ", words) is None
+    d, f, e, r = P.figures(PROSE[0], words)
     assert d == 0 and f > 0.3 and r == 0
-    assert P.figures(LIST["tags"])[0] > 0.9
-    assert P.figures("word " * 300_000)[3] > 0.99
+    assert P.figures(LIST["tags"], words)[0] > 0.9
+    assert P.figures("word " * 300_000, words)[3] > 0.99
+    assert P.figures("A sentence that says the same thing. " * 40, words)[0] > 0.8
