@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 FIGURES = ["density", "function_words", "entropy", "repetition"]
 #: Where spam lies on each figure.
 DIRECTION = [1, -1, -1, 1]
-#: Least standard deviation of each figure. That of density is wide, as unpunctuated lists of prose are no spam: density alone, four
-#: deviations at most, makes no outlier.
-FLOOR = [0.25, 0.05, 0.04, 0.05]
-#: Squared distance beyond which a document is an outlier: the 0.99 quantile of chi squared with four degrees of freedom.
-CUTOFF = 13.277
+#: Least standard deviation of each figure. That of density is wide, as unpunctuated lists of prose are no spam: density alone
+#: makes no outlier.
+FLOOR = [0.3, 0.05, 0.04, 0.05]
+#: Squared distance beyond which a document is an outlier: the 0.975 quantile of chi squared with four degrees of freedom, as is
+#: usual for robust distances.
+CUTOFF = 11.143
 TOWARDS, ROUNDS, BINS, AGAIN = 0.25, 2, 25, 4
 #: Centre of ordinary documents, which ``LEAN`` documents' weight of every estimate leans on.
 PRIOR, LEAN = [0.05, 0.3, 0.93, 0.05], 20
@@ -58,7 +59,6 @@ _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[ T]|\[?\d\d:\d\d(?::\d\d)?\S* .*\b(
 _WORD = re.compile(r"[^\W\d_]+")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PAIR = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+|[぀-ヿ㐀-鿿가-힯]{1,2}")
-_SHORT = re.compile(rf"(?<![^\W\d_])[^\W\d_]{{1,{LETTERS}}}(?![^\W\d_])")
 #: Between pieces: after closing punctuation, and at line ends unless the line goes on in lower case.
 _PIECE = re.compile(r"(?<=[.!?…])(?:[\"')]|[^\x00-\x7f\s])*\s+|(?<=[。！？])\s*|\n+(?![^\W\d_A-ZÀ-Þ])|\n\n+")
 _OPENING = re.compile(r"(?:[-*•>+]\s+|\d+[.)]\s+|#+\s+|[*_`]*\w{1,40}[*_`]*:[*_`]*\s+)*[\"“„«(`*_]*")
@@ -165,12 +165,13 @@ def language(column: str = "lang") -> Column:
 
 
 def short_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and language, the number of documents that have each short word; the empty word counts all documents."""
+    """Per batch and language, the number of documents that have each short word, by white space; the empty word counts all documents."""
     for b in batches:
         count: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             if text and not text.isspace():
-                count.update((lang, w) for w in {"", *_SHORT.findall(text.lower())})
+                count.update([(lang, w) for w in set(text.lower().split()) if len(w) <= LETTERS and w.isalpha()])
+                count[lang, ""] += 1
         langs, words = zip(*count, strict=True) if count else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(count.values(), pa.int64())], ["lang", "word", "n"])
 
