@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 CHARS_PER_TOKEN = 4
 STEP = 4
 _BOUNDARY = re.compile(r"\n[ \t\r]*\n\s*|\n|[.!?;:。！？][\"')\]]*\s+|\s+")
-PIECES = "item_id long, piece int, start long, stop long, tokens int, boundary string, text string"
+PIECES = "item_id long, delivered timestamp, chars int, pieces array<struct<start: long, stop: long, tokens: int, boundary: string, text: string>>"
 KINDS = ["hard", "word", "sentence", "line", "paragraph"]
 
 
@@ -100,40 +100,62 @@ def cuts(items: list[tuple[str, int, int]]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["item_id", "piece", "start", "stop", "tokens", "boundary", "text"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
-    for big in batches:
-        for k in range(0, big.num_rows, 500):
-            rows = big.slice(k, 500).to_pylist()
-            items = []
-            for r in rows:
-                room = max(1, r["max_tokens"] * CHARS_PER_TOKEN)
-                items.append((r["content"], room, min(max(0, (r["overlap_tokens"] or 0) * CHARS_PER_TOKEN), (room - 1) // 2)))
-            out: list[list] = [[] for _ in names]
-            for r, (text, _, _), pieces in zip(rows, items, cuts(items), strict=True):
-                for j, (a, b, kind) in enumerate(pieces):
-                    for column, v in zip(out, (r["item_id"], j, a, b, -(-(b - a) // CHARS_PER_TOKEN), KINDS[kind], text[a:b]), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-
-def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
-    """The latest row of each item over its limit, with the limit. The limits are a table of a few languages and broadcast."""
+def split_batches(texts: bool):
+    """A map from ``item_id, delivered, chars, content, max_tokens, overlap_tokens`` to the first three and ``pieces``: null for a
+    null content, which is that of an item within its limit. The pieces' texts are kept only where they are asked for."""
+    names = ["start", "stop", "tokens", "boundary", "text"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, 500):
+                part = big.slice(k, 500)
+                rows = part.select(["content", "max_tokens", "overlap_tokens"]).to_pylist()
+                items = []
+                for r in rows:
+                    if r["content"] is not None:
+                        room = max(1, r["max_tokens"] * CHARS_PER_TOKEN)
+                        items.append((r["content"], room, min(max(0, (r["overlap_tokens"] or 0) * CHARS_PER_TOKEN), (room - 1) // 2)))
+                out: list[list] = [[] for _ in names]
+                ends = []
+                for (text, _, _), pieces in zip(items, cuts(items), strict=True):
+                    for a, b, kind in pieces:
+                        for column, v in zip(out, (a, b, -(-(b - a) // CHARS_PER_TOKEN), KINDS[kind], text[a:b] if texts else None), strict=True):
+                            column.append(v)
+                    ends.append(len(out[0]))
+                ends, offsets = iter(ends), [0]
+                for r in rows:
+                    offsets.append(next(ends) if r["content"] is not None else offsets[-1])
+                values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("item_id", "delivered", "chars")), lists], ["item_id", "delivered", "chars", "pieces"])
+
+    return run
+
+
+def limited(items: DataFrame, limits: DataFrame) -> DataFrame:
+    """Every delivery of an item with its limit; the content only where it is over the limit. The limits are a table of a few
+    languages and broadcast."""
     known = limits.filter("language is not null").groupBy("language").agg(F.max("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
     other = known.filter("language = '*'")
     most, overlap = (other.agg(F.max(c)).scalar() for c in ("max_tokens", "overlap_tokens"))
-    latest = items.filter("item_id is not null").groupBy("item_id").agg(
-        F.max_by(F.struct("content", "language"), F.struct(F.coalesce(F.col("packaged_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")), F.length("content"))).alias("i"))
-    latest = latest.select("item_id", "i.content", "i.language").filter("content is not null")
-    limited = latest.join(F.broadcast(known), "language", "left")
-    return limited.select("item_id", "content", F.coalesce("max_tokens", most).alias("max_tokens"), F.coalesce("overlap_tokens", overlap).alias("overlap_tokens")).filter(F.ceil(F.length("content") / CHARS_PER_TOKEN) > F.col("max_tokens"))
+    time = F.coalesce(F.col("packaged_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))
+    rows = items.filter("item_id is not null").select("item_id", time.alias("delivered"), F.coalesce(F.length("content"), F.lit(0)).alias("chars"), "content", "language")
+    joined = rows.join(F.broadcast(known), "language", "left")
+    limit = F.coalesce("max_tokens", most)
+    over = F.when(F.ceil(F.col("chars") / CHARS_PER_TOKEN) > limit, F.col("content"))
+    return joined.select("item_id", "delivered", "chars", over.alias("content"), limit.alias("max_tokens"), F.coalesce("overlap_tokens", overlap).alias("overlap_tokens"))
 
 
-def pieces(items: DataFrame, limits: DataFrame) -> DataFrame:
-    """The ordered pieces of every oversized item: ``item_id, piece, start, stop, tokens, boundary, text``."""
-    return oversized(items, limits).mapInArrow(split_batches, PIECES)
+def pieces(items: DataFrame, limits: DataFrame, texts: bool = True) -> DataFrame:
+    """The ordered pieces of every oversized item: ``item_id, piece, start, stop, tokens, boundary, text``.
+
+    Deliveries are split where they are read; what is shuffled to pick the latest of each item are its pieces, not the contents of
+    items within their limit, and without ``texts`` only numbers."""
+    split = limited(items, limits).mapInArrow(split_batches(texts), PIECES)
+    latest = split.groupBy("item_id").agg(F.max_by("pieces", F.struct("delivered", "chars")).alias("pieces"))
+    return latest.select("item_id", F.posexplode("pieces").alias("piece", "p")).select("item_id", "piece", "p.*")
 
 
 def found(items: DataFrame, limits: DataFrame) -> DataFrame:
-    return pieces(items, limits).filter("piece = 1").select("item_id")
+    return pieces(items, limits, texts=False).filter("piece = 1").select("item_id")
