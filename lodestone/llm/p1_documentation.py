@@ -1,14 +1,17 @@
 """Functions paired with their documentation (problem 1).
 
-Each file is lexed once and its tokens are exploded into rows: comments that begin a line (C), annotations and attributes
-on lines of their own (A), braces (B) and, in Python, logical lines (D a definition, S a bare string, L any other). The
-rest is windows over the rows of a file, all keyed by the file:
+Each file is lexed once and its tokens are exploded into rows: declarations of functions (D) and types (T), braces (B, in Python the
+changes of indentation of logical lines), comments that begin a line (C), annotations and attributes on lines of their own (A), and
+strings that are the first line of a Python function (S). The rest is windows over the rows of a file:
 
-* a running sum of the braces' deltas is the depth; within a file and level, the closing row next to an opening one ends
-  what it opened, so functions are delimited without a parser,
-* comments form islands of neighbouring lines (gaps and islands); annotations bridge them,
+* a running sum of the braces' deltas is the depth; a function's body is the next pair of its level, so it is delimited without a
+  parser, and a method is one only where the pair around it is that of a type (where a file's braces balance),
+* comments form islands of neighbouring lines (gaps and islands), which annotations bridge and a declaration ends,
 * lag and lead attach an island to the declaration below it, a docstring to the definition above it.
 
+Name, place and end of a function come from these rows; ``symbols`` only gives the id, by file and place. Deliveries are lexed where
+they are read; what is shuffled is their rows, once, the texts of comments that can't document left out.
+
 A symbol without a source, or of a kind other than function and method, has no row; repeated symbols and files count once
 (files: the latest delivery, by path). Null ids and paths have no row. Extra columns are ignored.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from . import lexing
 from .p4_syntax import is_source
 
-ROWS = "file_path string, lang string, seq int, kind string, line int, end_line int, style string, delta int, text string"
+ROWS = "file_path string, lang string, delivered timestamp, rows array<struct<kind: string, line: int, end_line: int, style: string, delta: int, text: string, name: string>>"
 
 _OTHERS = {
     "javascript": lexing._TEMPLATE + "|" + lexing._CSTRING + "|" + lexing._CCHAR,
@@ -36,30 +39,47 @@ _OTHERS = {
 }
 _OTHERS["typescript"] = _OTHERS["javascript"]
 _GROUP = r'\((?:"(?:[^"\\\n]|\\.)*"|' + r"'(?:[^'\\\n]|\\.)*'|[^()\"']|\((?:[^()]|\([^()]*\))*\))*\)"
+_PARAMETERS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+\)"
+_NO_NAME = r"(?!(?:if|for|while|switch|catch|return|function|new|throw|else|case|yield|assert|await|typeof|super|do|try)\b)"
+_SCRIPT = (
+    rf"\bfunction\b\s*\*?\s*(?P<n1>[\w$]+)[^{{}};(]*{_PARAMETERS}(?:\s*:[^{{}};=]+)?|\b(?:const|let|var)\s+(?P<n2>[\w$]+)[^=;\n]*=\s*(?:async\s*)?(?:{_PARAMETERS}|[\w$]+)(?:\s*:[^=;{{}}]+)?\s*=>"
+    rf"|^[ \t]*(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set)[ \t]+)*[*\#]?{_NO_NAME}(?P<n3>[A-Za-z_$][\w$]*)[ \t]*(?:<[^()\n]*>)?{_PARAMETERS}(?:(?=\s*\{{)|\s*:\s*[^;{{}}=\n]+(?=[;{{\n]))"
+)
+#: Declarations of functions up to their bodies. Those named ``n3`` are methods, where they stand directly in a type.
+_DECLARED = {
+    "javascript": _SCRIPT,
+    "typescript": _SCRIPT,
+    "java": rf"^[ \t]*(?:@\w+(?:{_GROUP})?[ \t]+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*(?:<[^()\n]*>[ \t]*)?{_NO_NAME}(?:[\w.]+(?:<[^;{{}}()]*>)?(?:\[\])*[ \t]+)?(?P<n3>\w+)[ \t]*{_PARAMETERS}\s*(?:throws[^{{;]*)?(?=[{{;])",
+    "go": rf"^func[ \t]+(?:\([^()]*\)[ \t]*)?(?P<n1>\w+)(?:\[[^\]]*\])?[ \t]*{_PARAMETERS}(?:[^{{\n]|(?:interface|struct)[ \t]*\{{[^{{}}]*\}})*?(?=\{{|\n|\Z)",
+    "rust": rf"\bfn[ \t]+(?P<n1>\w+)[^{{}};(]*{_PARAMETERS}[^{{}};]*(?=[{{;])",
+}
 _SCAN = {
     k: re.compile(
-        r"(?P<c>//[^\n]*|/\*.*?\*/)|(?P<a>^[ \t]*(?:" + (r"\#!?\[(?:\"[^\"\n]*\"|[^\]\"])*\]" if k == "rust" else r"@[\w.$]+(?:" + _GROUP + ")?") + r"[ \t]*)+$)|(?P<b>[{}])|" + v,
+        r"(?P<c>//[^\n]*|/\*.*?\*/)|(?P<a>^[ \t]*(?:" + (r"\#!?\[(?:\"[^\"\n]*\"|[^\]\"])*\]" if k == "rust" else r"@[\w.$]+(?:" + _GROUP + ")?") + r"[ \t]*)+$)|(?P<d>" + _DECLARED[k]
+        + r")|(?P<t>(?<![.\w])(?:class|interface|enum|record|struct|trait|impl)\b(?=[^;(){}=]*\{|\s+\w+\s*\())|(?P<b>[{}])|" + v,
         re.S | re.M,
     )
     for k, v in _OTHERS.items()
 }
 
 
+#: Styles that document a function, by language (fixed values).
+STYLES = {"python": ["string"], "java": ["block_doc"], "javascript": ["block_doc"], "typescript": ["block_doc"], "rust": ["line_doc", "block_doc"], "go": ["line", "line_doc", "block", "block_doc"]}
+
+
 def brace_rows(lang: str, text: str) -> list[tuple]:
     ends = [m.start() for m in re.finditer("\n", text)]
+    line_at = lambda pos: bisect_right(ends, pos - 1) + 1 if pos else 1
     rows = []
     for m in _SCAN[lang].finditer(text):
-        kind = m.lastgroup
-        if kind == "b":
-            line = bisect_right(ends, m.start() - 1) + 1 if m.start() else 1
-            rows.append(("B", line, line, None, 1 if text[m.start()] == "{" else -1, None))
-        elif kind in ("c", "a"):
-            s, e = m.span()
-            line = bisect_right(ends, s - 1) + 1 if s else 1
-            last = bisect_right(ends, e - 1) + 1
-            if kind == "a":
-                rows.append(("A", line, last, None, 0, None))
-                continue
+        s, e = m.span()
+        if m["b"]:
+            line = line_at(s)
+            rows.append(("B", line, line, None, 1 if text[s] == "{" else -1, None, None))
+        elif m["t"]:
+            rows.append(("T", line_at(s), line_at(s), None, 0, None, None))
+        elif m["c"]:
+            line = line_at(s)
             begin = ends[line - 2] + 1 if line > 1 else 0
             if text[begin:s].strip(" \t"):
                 continue
@@ -67,7 +87,14 @@ def brace_rows(lang: str, text: str) -> list[tuple]:
             style = "line" if t[1] == "/" else "block"
             if style == "line" and t[:3] == "///" and t[:4] != "////" or style == "block" and t[:3] == "/**" and len(t) > 4:
                 style += "_doc"
-            rows.append(("C", line, last, style, 0, t))
+            rows.append(("C", line, line_at(e), style, 0, t if style in STYLES[lang] else None, None))
+        elif m["a"]:
+            rows.append(("A", line_at(s), line_at(e), None, 0, None, None))
+        elif m["d"]:
+            g = m.groupdict()
+            which = next(n for n in ("n1", "n2", "n3") if g.get(n))
+            body = text[e : e + 200].lstrip()[:1] == "{"
+            rows.append(("D", line_at(m.start(which)), line_at(e), ("member" if which == "n3" else "plain") + ("_body" if body else ""), 0, None, m[which]))
     return rows
 
 
@@ -75,21 +102,59 @@ _DEF = re.compile(r"(?:async[ \t]+)?def\b")
 
 
 def python_rows(text: str) -> list[tuple]:
-    """One row per logical line. A string that is a line of its own is S, its text kept; f-strings and bytes are no documentation."""
-    rows, line, depth, first, start, head, count = [], 1, 0, None, 1, "", 0
+    """Definitions, docstrings, and the changes of indentation of the logical lines; what closes is at the line before."""
+    rows: list[tuple] = []
+    levels, depth, line = [0], 0, 1
+    first = name = None  # of the logical line: first token, and what it defines
+    start = count = width = 0
+    indent, ended, after = 0, 0, None  # indentation of the line to come, end of the last logical line, row of the last definition
+
+    def finish(end: int) -> None:
+        nonlocal after, ended
+        while width < levels[-1]:
+            levels.pop()
+            rows.append(("B", ended, ended, None, -1, None, None))
+        if width > levels[-1]:
+            levels.append(width)
+            rows.append(("B", start, start, None, 1, None, None))
+            if after is not None:
+                rows[after] = (*rows[after][:3], "plain_body", *rows[after][4:])
+        if after is not None and count == 1 and first[-1] in "\"'" and first.lstrip("rRuU")[:1] in ("'", '"'):
+            rows.append(("S", start, end, "string", 0, first, None))
+        after = None
+        if name is not None:
+            after = len(rows)
+            rows.append(("D", start, end, "plain", 0, None, name))
+        ended = end
+
+    wants = False
     for t in lexing.tokens("python", text):
         c = t[0]
         if c in " \t\n":
-            if "\n" in t and not depth and first is not None:
-                rows.append(_logical(first, head, count, start, line))
-                first, count = None, 0
-        elif c == "#" or t == "\\\n":
+            if "\n" in t:
+                if not depth and first is not None:
+                    finish(line)
+                    first, name, count, wants = None, None, 0, False
+                if not depth:
+                    indent = len(t[t.rfind("\n") + 1 :].expandtabs(8))
+            elif first is None and line == 1:
+                indent = len(t.expandtabs(8))
+        elif c == "#" and "\n" not in t or t == "\\\n":
             pass
+        elif c == "#":
+            if not depth and first is not None:
+                finish(line)
+                first, name, count, wants = None, None, 0, False
+            if not depth:
+                indent = len(t[t.rfind("\n") + 1 :].expandtabs(8))
         else:
             if first is None:
-                first, start, head = t, line, t
-            elif count == 1:
-                head = first + " " + t
+                first, start, width = t, line, indent
+                wants = t == "def"
+            elif count == 1 and first == "async" and t == "def":
+                wants = True
+            elif wants:
+                name, wants = t, False
             count += 1
             if c in "([{":
                 depth += 1
@@ -97,77 +162,63 @@ def python_rows(text: str) -> list[tuple]:
                 depth = max(0, depth - 1)
         line += t.count("\n")
     if first is not None:
-        rows.append(_logical(first, head, count, start, line))
+        finish(line)
+    rows += [("B", ended, ended, None, -1, None, None)] * (len(levels) - 1)
     return rows
 
 
-def _logical(first: str, head: str, count: int, start: int, end: int) -> tuple:
-    if count == 1 and first[-1] in "\"'" and first.lstrip("rRuU")[:1] in ("'", '"'):
-        return ("S", start, end, "string", 0, first)
-    return ("D" if _DEF.match(head) else "L", start, end, None, 0, None)
-
-
 def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["file_path", "lang", "seq", "kind", "line", "end_line", "style", "delta", "text"]
-    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+    names = ["kind", "line", "end_line", "style", "delta", "text", "name"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for path, source in zip(batch.column("file_path").to_pylist(), batch.column("source_bytes"), strict=True):
-            if not source.is_valid:
-                continue
-            lang, text = lexing.language_of(path), lexing.decode(source.as_buffer())
-            rows = python_rows(text) if lang == "python" else brace_rows(lang, text)
-            n = len(rows)
-            if not n:
-                continue
-            out[0] += [path] * n
-            out[1] += [lang] * n
-            out[2] += range(n)
-            for k, column in enumerate(zip(*rows, strict=True)):
-                out[3 + k] += column
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
-                out = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
-
-
-
-
-def attached(rows: DataFrame) -> DataFrame:
-    """What stands directly above (in Python: below) each line: ``file_path, lang, at, style, text``; one pass of windows."""
+        paths, times = batch.column("file_path"), batch.column("delivered")
+        langs, out, offsets = [], [[] for _ in names], [0]
+        for path, source in zip(paths.to_pylist(), batch.column("source_bytes"), strict=True):
+            lang = lexing.language_of(path)
+            langs.append(lang)
+            if source.is_valid:
+                text = lexing.decode(source.as_buffer())
+                for column, values in zip(out, zip(*(python_rows(text) if lang == "python" else brace_rows(lang, text)), strict=True), strict=False):
+                    column += values
+            offsets.append(len(out[0]))
+        values = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([paths, pa.array(langs, pa.string()), times, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["file_path", "lang", "delivered", "rows"])
+
+
+def functions(rows: DataFrame) -> DataFrame:
+    """``file_path, lang, name, start_line, end_line, style, documentation`` of every function that the rows declare, the last two null
+    where nothing stands above it (in Python: below). All windows follow one exchange by file."""
     w = Window.partitionBy("file_path").orderBy("seq")
-    r = rows.filter("kind != 'B'")
-    r = r.withColumn("_above", F.lag("end_line").over(w)).withColumn("_next", F.lead(F.struct("kind", "style", "text")).over(w))
-    r = r.withColumn("_island", F.sum(F.when((F.col("line") == F.col("_above") + 1) & (F.col("lang") != "python"), 0).otherwise(1)).over(w))
-    python = F.col("lang") == "python"
-    r = r.filter(~python | (F.col("kind") == "D") & (F.col("_next.kind") == "S"))
-    # In Java the place of a symbol is its first annotation, elsewhere the line below all annotations.
-    first = F.when((F.col("lang") == "java") & (F.col("kind") == "A"), F.col("line")).alias("first")
-    r = r.select("file_path", "lang", "_island", "seq", first, F.when(python, F.col("line")).otherwise(F.col("end_line") + 1).alias("at"),
-                 F.when(python, F.col("_next.style")).otherwise(F.col("style")).alias("style"), F.when(python, F.col("_next.text")).otherwise(F.col("text")).alias("text"))
-    islands = r.groupBy("file_path", "lang", "_island").agg(F.coalesce(F.min("first"), F.max("at")).alias("at"), F.array_sort(F.collect_list(F.struct("seq", "style", "text"))).alias("_rows"))
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file_path")
+    kind, python = F.col("kind"), F.col("lang") == "python"
+    code, stands = kind.isin("B", "D", "T"), kind.isin("A", "C", "D", "S")
+    r = rows.withColumn("_depth", F.sum("delta").over(w)).withColumn("_code", F.last(F.when(code, kind), True).over(before))
+    r = r.withColumn("_above", F.last(F.when(stands, F.struct("kind", "end_line")), True).over(before))
+    r = r.withColumn("_level", F.when(code, F.col("_depth") - F.when(F.col("delta") > 0, 1).otherwise(0)))
+    joined = F.when(python, (kind == "S") & (F.col("_above.kind") == "D")).otherwise((F.col("_above.kind") != "D") & (F.col("line") == F.col("_above.end_line") + 1))
+    r = r.withColumn("_island", F.sum(F.when(stands & ~F.coalesce(joined, F.lit(False)), 1).otherwise(0)).over(w))
+    r = r.withColumn("_balanced", (F.sum("delta").over(whole) == 0) & (F.min("_depth").over(whole) >= 0))
+    # The next rows of a declaration's level are the pair of its body.
+    v = Window.partitionBy("file_path", "_level").orderBy("seq")
+    end = F.when(F.col("style").endswith("_body") & (F.lead("kind", 1).over(v) == "B"), F.coalesce(F.lead("line", 2).over(v), F.col("end_line"))).otherwise(F.col("end_line"))
+    r = r.withColumn("_end", end)
+    # The last pair opened around a row; of a method it must be that of a type.
+    r = r.withColumn("_inner", F.when(F.col("delta") > 0, F.col("_level") + 1).when(kind == "D", F.col("_level")))
+    u = Window.partitionBy("file_path", "_inner").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_in_type", F.last(F.when(F.col("delta") > 0, F.col("_code") == "T"), True).over(u))
+    declared = (kind == "D") & (~F.col("style").startswith("member") | ~F.col("_balanced") | F.coalesce("_in_type", F.lit(False)))
+    first = F.min(F.when((F.col("lang") == "java") & (kind == "A"), F.col("line")))
+    islands = r.filter(stands).groupBy("file_path", "lang", "_island").agg(
+        F.max(F.when(declared, F.struct("line", "name", "_end"))).alias("_d"), first.alias("_first"),
+        F.array_sort(F.collect_list(F.when(kind.isin("C", "S"), F.struct("seq", "style", "text")))).alias("_rows"))
     # The last run of an island: neighbouring line comments of one style, or a single block.
     run = F.aggregate(
-        F.filter("_rows", lambda x: x["style"].isNotNull()),
-        F.struct(F.lit("").alias("style"), F.lit("").alias("text")),
+        "_rows",
+        F.struct(F.lit(None).cast("string").alias("style"), F.lit(None).cast("string").alias("text")),
         lambda acc, x: F.struct(x["style"].alias("style"), F.when((acc["style"] == x["style"]) & x["style"].startswith("line"), F.concat(acc["text"], F.lit("\n"), x["text"])).otherwise(x["text"]).alias("text")),
     )
-    return islands.withColumn("_run", run).select("file_path", "lang", "at", "_run.style", "_run.text")
-
-
-def ends(rows: DataFrame) -> DataFrame:
-    """Where what opens on a line ends: ``file_path, line, body_end``, from cumulative depth; the last brace of a line counts,
-    so that of a body, not those of default values before it."""
-    w = Window.partitionBy("file_path").orderBy("seq")
-    b = rows.filter("kind = 'B'").withColumn("_depth", F.sum("delta").over(w))
-    b = b.withColumn("_level", F.when(F.col("delta") > 0, F.col("_depth") - 1).otherwise(F.col("_depth")))
-    v = Window.partitionBy("file_path", "_level").orderBy("seq")
-    b = b.withColumn("body_end", F.lead("line").over(v)).filter("delta > 0")
-    return b.groupBy("file_path", "line").agg(F.max_by("body_end", "seq").alias("body_end"))
-
-
-#: Styles that document a function, by language (fixed values).
-STYLES = {"python": ["string"], "java": ["block_doc"], "javascript": ["block_doc"], "typescript": ["block_doc"], "rust": ["line_doc", "block_doc"], "go": ["line", "line_doc", "block", "block_doc"]}
+    out = islands.filter("_d is not null").withColumn("_run", run)
+    return out.select("file_path", "lang", "_d.name", F.coalesce("_first", "_d.line").alias("start_line"), F.col("_d._end").alias("end_line"), "_run.style", F.col("_run.text").alias("documentation"))
 
 
 def description(text: Column) -> Column:
@@ -210,36 +261,39 @@ def is_trivial(description: Column, name: Column) -> Column:
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """The token rows of every source file, one delivery of each."""
-    time = F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))
-    latest = files.filter(is_source(F.col("file_path"))).groupBy("file_path").agg(F.max_by("source_bytes", time).alias("source_bytes"))
-    return latest.mapInArrow(token_rows, ROWS)
+    """The token rows of every source file, of its latest delivery: ``file_path, lang, seq`` and the fields of ``ROWS``."""
+    time = F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")).alias("delivered")
+    tokens = files.filter(is_source(F.col("file_path"))).select("file_path", "source_bytes", time).mapInArrow(token_rows, ROWS)
+    latest = tokens.groupBy("file_path", "lang").agg(F.max_by("rows", "delivered").alias("rows"))
+    return latest.select("file_path", "lang", F.posexplode("rows").alias("seq", "r")).select("file_path", "lang", "seq", "r.*")
 
 
-def documented(symbols: DataFrame, rows: DataFrame) -> DataFrame:
-    """Functions and methods whose documentation is not trivial: ``id, file_path, name, start_line, end_line, style,
-    documentation, description``."""
+def documented(rows: DataFrame) -> DataFrame:
+    """Functions whose documentation is not trivial: ``file_path, name, start_line, end_line, description``."""
     fits = F.lit(False)
     for lang, styles in STYLES.items():
         fits = fits | ((F.col("lang") == lang) & F.col("style").isin(styles))
-    found = attached(rows).filter(fits).select("file_path", F.col("at").alias("start_line"), "style", F.col("text").alias("documentation"))
-    wanted = symbols.filter("kind in ('function', 'method') and id is not null").select("id", "file_path", "name", "start_line", "end_line").dropDuplicates(["id"])
-    out = wanted.join(found, ["file_path", "start_line"]).withColumn("description", description(F.col("documentation")))
-    return out.filter(~is_trivial(F.col("description"), F.coalesce("name", F.lit(""))))
+    out = functions(rows).filter(fits).withColumn("description", description(F.col("documentation")))
+    return out.filter(~is_trivial(F.col("description"), F.coalesce("name", F.lit("")))).select("file_path", "name", "start_line", "end_line", "description")
+
+
+def wanted(symbols: DataFrame) -> DataFrame:
+    return symbols.filter("kind in ('function', 'method') and id is not null").select("id", "file_path", "start_line")
 
 
 def found(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    return documented(symbols, lexed(files)).select("id").distinct()
+    return wanted(symbols).join(documented(lexed(files)).select("file_path", "start_line"), ["file_path", "start_line"]).select("id").distinct()
 
 
 def pairs(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Code and description of every documented function: ``id, name, language, code, description``. The code runs from the
-    symbol's place to its end, or where that is null to the end found from cumulative depth."""
-    rows = lexed(files)
-    e = ends(rows).withColumnRenamed("line", "start_line")
-    doc = documented(symbols, rows).join(e, ["file_path", "start_line"], "left").withColumn("end_line", F.coalesce("end_line", "body_end", "start_line"))
+    """Code and description of every documented function: ``id, name, language, start_line, end_line, code, description``. The code runs
+    from its place to the end of its body, both from the rows of its file. Sources are joined once a file, not once a function."""
+    doc = wanted(symbols).distinct().join(documented(lexed(files)), ["file_path", "start_line"])
+    of_file = doc.groupBy("file_path").agg(F.collect_list(F.struct("id", "name", "start_line", "end_line", "description")).alias("fs"))
     time = F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))
     latest = files.filter(is_source(F.col("file_path"))).groupBy("file_path").agg(F.max_by(F.struct("source_bytes", "language"), time).alias("_f"))
-    lines = F.split(F.regexp_replace(F.make_valid_utf8(F.col("_f.source_bytes").cast("string")), "^\ufeff", ""), "\r\n|\r|\n")
-    code = F.array_join(F.slice(lines, F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
-    return doc.join(latest, "file_path").select("id", "name", F.col("_f.language").alias("language"), code.alias("code"), "description")
+    lines = F.split(F.regexp_replace(F.make_valid_utf8(F.col("_f.source_bytes").cast("string")), "^\ufeff", ""), "\r\n|\r|\n").alias("lines")
+    j = of_file.join(latest, "file_path").select("fs", F.col("_f.language").alias("language"), lines)
+    code = lambda f: F.array_join(F.slice("lines", F.greatest(f["start_line"], F.lit(1)), F.greatest(f["end_line"] - f["start_line"] + 1, F.lit(0))), "\n")
+    cut = j.select("language", F.explode(F.transform("fs", lambda f: F.struct(f.alias("f"), code(f).alias("code")))).alias("x"))
+    return cut.select("x.f.id", "x.f.name", "language", "x.f.start_line", "x.f.end_line", "x.code", "x.f.description").dropDuplicates(["id"])

@@ -1,6 +1,8 @@
 import ast
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import p1_documentation as P
 
 T0 = dt.datetime(2024, 1, 1)
@@ -121,10 +123,24 @@ def test_pairs_hold_code_and_description(spark):
     assert got["rows"]["code"].split("\n")[0] == "pub fn rows() {}"
 
 
-def test_ends_come_from_depth(spark):
+def test_functions_come_from_depth(spark):
     _, files = tables(spark)
-    ends = {(r["file_path"], r["line"]): r["body_end"] for r in P.ends(P.lexed(files)).collect()}
-    assert ends[("r/a.ts", 6)] == 9 and ends[("r/A.java", 1)] == 9 and ends[("r/A.java", 7)] == 8
+    got = {(r["file_path"], r["name"]): (r["start_line"], r["end_line"]) for r in P.functions(P.lexed(files)).collect()}
+    assert got[("r/a.ts", "grow")] == (6, 9) and got[("r/A.java", "warm")] == (5, 8)
+    assert got[("r/a.py", "a")] == (1, 3) and got[("r/a.py", "b")] == (6, 13) and got[("r/a.py", "e")] == (23, 23) and got[("r/a.py", "f")] == (24, 25)
+
+
+def test_calls_are_no_methods(spark):
+    text = "class A {\n  void run() {\n    help(1);\n    if (x) {\n      public y(2);\n    }\n  }\n  abstract int size();\n}\n"
+    files = spark.createDataFrame([(1, "r", "r/B.java", text.encode(), "java", T0, None)], FILES)
+    assert {(r["name"], r["start_line"], r["end_line"]) for r in P.functions(P.lexed(files)).collect()} == {("run", 2, 7), ("size", 8, 8)}
+
+
+def test_places_ends_and_names_equal_the_symbol_table(spark):
+    d = "/root/testdata/sf0.01/"
+    symbols = spark.read.parquet(d + "symbols.parquet").filter("kind in ('function', 'method')").select("file_path", "start_line", "end_line", "name").distinct()
+    found = P.functions(P.lexed(spark.read.parquet(d + "files.parquet"))).select("file_path", "start_line", "end_line", "name")
+    assert symbols.count() > 2000 and symbols.join(found, ["file_path", "start_line", "end_line", "name"], "left_anti").count() == 0
 
 
 def test_empty_tables(spark):
@@ -135,7 +151,7 @@ def test_empty_tables(spark):
 def test_docstrings_agree_with_the_compiler(spark):
     """Of all parsable Python files, the docstrings found are those that ast finds."""
     files = spark.read.parquet("/root/testdata/sf0.01/files.parquet").filter("lower(file_path) like '%.py'")
-    got = {(r["file_path"], r["at"]) for r in P.attached(P.lexed(files)).filter("lang = 'python'").select("file_path", "at").collect()}
+    got = {(r["file_path"], r["at"]) for r in P.functions(P.lexed(files)).filter("lang = 'python' and style = 'string'").select("file_path", F.col("start_line").alias("at")).collect()}
     broken, want = set(), set()
     for r in files.select("file_path", "source_bytes").distinct().collect():
         try:
