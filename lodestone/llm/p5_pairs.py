@@ -7,7 +7,7 @@ A run has at most one defect, the first of these that holds:
 * ``refusal``: a grammar of refusals, courtesies and referrals in four languages derives the whole answer, with a refusal in it,
 * ``truncated``: a pushdown parser of fences, inline code, brackets, quotations, lists and markup ends within an open
   construct, or within an unfinished sentence of running text,
-* ``wrong_language``: script or function words of the prose are those of another language than the prompt's, and not of one
+* ``wrong_language``: script or function words (of eight languages) of the prose are those of another language than the prompt's, and not of one
   that the prompt asks for.
 
 Null answers are empty; a null prompt can't be copied and has no language. Repeated runs count once, by ``request_id`` (the
@@ -265,12 +265,16 @@ def is_truncated(answer: str) -> bool:
 
 # --- language ---------------------------------------------------------------------------------------------------------
 
-#: Function words of four languages; those that several share are left out (fixed values).
+#: Function words of eight languages; one that several share counts as a share of each (fixed values).
 FUNCTION_WORDS = {
-    "en": "the and of to is are was were that this these which with without for from by on at as it its be been has have had not but or if then when while what where who how why because before after there their they you your we our can could should would must may do does did into than only until each both most one two all any another yet still nothing nobody whoever please keep unlike write explain compare rename refactor",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte mit ohne für von vom zum zur auf aus bei nach vor über unter zwischen dass weil wenn sonst noch nur auch als wie warum welche welcher welches wir ihr sie es ich du man bitte zuerst danach bevor jede jedes jeder alle etwas mehr seit davon beim im am stellen hängen schreibe erkläre entscheidet",
-    "es": "el los las una unos unas y o pero no es son era fue se su sus con sin para por del al que como cuando donde cuál cuántas qué porque si más ya todavía sólo solo hay desde hasta entre sobre cada todo todos nos nadie puede pueden conviene antes después tras lo esto esta este eso cómo partes queda quedan proyecto función escribe explica",
-    "fr": "le les des du une et ou mais ne pas est sont était sur avec sans pour par dans au aux que qui quoi comme quand où pourquoi parce si plus déjà encore toujours il elle on nous vous ils elles ce cette ces cet son sa ses leur chaque tout tous toutes personne peut peuvent depuis avant après d'abord reste sait fait quel quelle quels quelles du comment fonction projet dépendent écris explique choisit",
+    "en": "the and of to is are was were that this these which with without for from by on at as it its be been has have had not but or if then when while what where who how why because before after there their they you your we our can could should would must may do does did into than only until each both most one two all any another yet still nothing nobody whoever please unlike whether",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben hatte mit ohne für von vom zum zur auf aus bei nach vor über unter zwischen dass weil wenn sonst noch nur auch als wie warum welche welcher welches wir ihr sie es ich du man bitte zuerst danach bevor jede jedes jeder alle etwas mehr seit davon beim im am",
+    "es": "el los las una unos unas y o pero no es son era fue se su sus con sin para por del al que como cuando donde cuál cuántas qué porque si más ya todavía sólo solo hay desde hasta entre sobre cada todo todos nos nadie puede pueden conviene antes después tras lo esto esta este eso cómo ",
+    "fr": "le les des du une et ou mais ne pas est sont était sur avec sans pour par dans au aux que qui quoi comme quand où pourquoi parce si plus déjà encore toujours il elle on nous vous ils elles ce cette ces cet son sa ses leur chaque tout tous toutes personne peut peuvent depuis avant après d'abord reste sait fait quel quelle quels quelles du comment",
+    "it": "gli della delle degli dello nella nel che di è sono perché anche più questo questa quando dove non ma senza ogni dopo prima",
+    "pt": "não uma os das dos ao com para porque também mais isso são foi pelo pela seu sua você onde já até",
+    "nl": "het een van dat niet met voor zijn wordt worden maar ook naar bij deze dit als waar geen uit door",
+    "pl": "nie się jest że na do tego który która które jak ale tylko przez jego czy oraz gdy już",
 }
 _LANGUAGE_OF: dict[str, list[str]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
@@ -280,44 +284,51 @@ _LETTERS = {"de": "äöüß", "es": "ñ¿¡áíóú", "fr": "èêçàùœîôû
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|^\s*>.*$|\s>\s.*$|\"[^\"\n]*\"|https?://\S+|\b\w*(?:[a-z][A-Z]|_)\w*\b", re.S | re.M)
 _PROSE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _REQUEST = re.compile(
-    r"(?:reply|answer|respond|write|explain|response|output|translat\w*)\b[^.?!\n]{0,40}\b(?:in|into|to)\s+(english|german|french|spanish)"
+    r"(?:reply|answer|respond|write|explain|response|output|translat\w*)\b[^.?!\n]{0,40}\b(?:in|into|to)\s+(english|german|french|spanish|italian|portuguese|dutch|polish)"
     r"|(?:antwort\w*|schreib\w*|erklär\w*|übersetz\w*|formulier\w*)\b[^.?!\n]{0,40}\b(?:auf|ins?)\s+(englisch\w*|deutsch\w*|französisch\w*|spanisch\w*)"
     r"|(?:respond\w*|contest\w*|escrib\w*|explic\w*|traduc\w*)\b[^.?!\n]{0,40}\b(?:en|al)\s+(inglés|alemán|francés|español)"
     r"|(?:répond\w*|écri\w*|expliqu\w*|traduis\w*|traduire)\b[^.?!\n]{0,40}\b(?:en)\s+(anglais|allemand|français|espagnol)",
     re.I,
 )
-_NAMES = {"en": ("engl", "ingl", "angl"), "de": ("germ", "deut", "alem", "alle"), "fr": ("fren", "fran"), "es": ("span", "espa")}
+_LATIN, _ASCII = re.compile(r"[A-Za-z]+"), re.compile(r"[\x00-\x7f]+")
+_NAMES = {"en": ("engl", "ingl", "angl"), "de": ("germ", "deut", "alem", "alle"), "fr": ("fren", "fran"), "es": ("span", "espa"), "it": ("ital",), "pt": ("port",), "nl": ("dutc",), "pl": ("poli",)}
 
 
 def script_of(text: str) -> str:
     """The script most letters are of: latin, or the first word of their Unicode name."""
-    seen = Counter("latin" if c < "ɐ" else unicodedata.name(c, "?").split()[0].lower() for c in text if c.isalpha())
-    return seen.most_common(1)[0][0] if seen else ""
-
-
-def language(text: str) -> tuple[str | None, float]:
-    """The language of a prose by its function words and letters, null when they don't tell; its lead over the next one."""
-    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    prose = _CODE.sub(" ", text)
-    for w in _PROSE.findall(prose.lower()):
+    latin = len(text) - len(_LATIN.sub("", text))
+    if text.isascii():
+        return "latin" if latin else ""
+    seen = Counter("latin" if c < "ɐ" else unicodedata.name(c, "?").split()[0].lower() for c in _ASCII.sub("", text) if c.isalpha())
+    seen["latin"] += latin
+    script, n = seen.most_common(1)[0]
+    return script if n else ""
+
+
+def language(prose: str) -> str | None:
+    """The language of a prose by its function words and letters, null when they don't tell."""
+    score, low = dict.fromkeys(FUNCTION_WORDS, 0.0), prose.lower()
+    for w, n in Counter(_PROSE.findall(low)).items():
         langs = _LANGUAGE_OF.get(w, ())
         for x in langs:
-            score[x] += 1 / len(langs)
-    for x, letters in _LETTERS.items():
-        score[x] += 0.5 * sum(prose.lower().count(c) for c in letters)
-    (first, a), (_, b) = sorted(score.items(), key=lambda kv: (-kv[1], kv[0]))[:2]
-    return (first, a - b) if a >= 2 and a >= 1.5 * b else (None, 0.0)
+            score[x] += n / len(langs)
+    if not low.isascii():
+        for x, letters in _LETTERS.items():
+            score[x] += 0.5 * sum(map(low.count, letters))
+    b, a = sorted(score.values())[-2:]
+    return min(x for x, v in score.items() if v == a) if a >= 2 and a >= 1.5 * b else None
 
 
 def is_wrong_language(prompt: str | None, answer: str) -> bool:
     if not prompt:
         return False
-    prose = _CODE.sub(" ", answer)
-    want, got = script_of(_CODE.sub(" ", prompt)), script_of(prose)
+    prose, asking = _CODE.sub(" ", answer), _CODE.sub(" ", prompt)
+    want, got = script_of(asking), script_of(prose)
     if want and got and want != got:
         return len(_PROSE.findall(prose)) >= 3 and not _REQUEST.search(prompt)
-    of_prompt, of_answer = language(prompt)[0], language(answer)[0]
-    if of_prompt is None or of_answer is None or of_prompt == of_answer:
+    of_answer = language(prose)
+    of_prompt = language(asking) if of_answer else None
+    if of_prompt is None or of_prompt == of_answer:
         return False
     asked = {x for m in _REQUEST.finditer(prompt) for g in m.groups() if g for x, starts in _NAMES.items() if g.lower().startswith(starts)}
     return of_answer not in asked
