@@ -6,6 +6,7 @@ words that are common names (``match``, ``package``, ``export``) may be called l
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from .derivatives import Grammar
@@ -16,20 +17,22 @@ file = { stmt | 'NL' } ;
 block = 'NL' 'IN' stmt { stmt } 'DE' | simples ;
 simples = simple { ';' simple } [ ';' ] 'NL' ;
 stmt = simples | compound ;
-simple = starlist [ { '=' rhs } '=' rhs | 'A' rhs | ':' expr [ '=' rhs ] ] | yield
+simple = starlist | targets '=' { targets '=' } rhs | single 'A' rhs | ( single | '(' single ')' ) ':' expr [ '=' rhs ] | yield
   | 'return' [ starlist ] | 'raise' [ expr [ 'from' expr ] ] | 'pass' | 'break' | 'continue'
   | 'import' dotted [ 'as' name ] { ',' dotted [ 'as' name ] }
   | 'from' ( dotted | ( '.' | '...' ) { '.' | '...' } [ dotted ] ) 'import' ( '*' | aliases | '(' aliases [ ',' ] ')' )
-  | 'global' name { ',' name } | 'nonlocal' name { ',' name } | 'del' starlist | 'assert' expr [ ',' expr ]
-  | 'type' name [ '[' slices ']' ] '=' expr ;
+  | 'global' name { ',' name } | 'nonlocal' name { ',' name } | 'del' targets | 'assert' expr [ ',' expr ]
+  | 'type' name [ tparams ] '=' expr ;
+tparams = '[' tparam { ',' tparam } [ ',' ] ']' ;
+tparam = [ '*' | '**' ] name [ ':' expr ] [ '=' [ '*' ] expr ] ;
 aliases = name [ 'as' name ] { ',' name [ 'as' name ] } ;
 rhs = yield | starlist ;
 yield = 'yield' [ 'from' expr | starlist ] ;
 dotted = name { '.' name } ;
 name = 'i' | 'match' | 'case' | 'type' ;
-compound = { '@' named 'NL' } [ 'async' ] ( 'def' name [ '[' slices ']' ] '(' [ params ] ')' [ '->' expr ] ':' block
+compound = { '@' named 'NL' } [ 'async' ] ( 'def' name [ tparams ] '(' [ params ] ')' [ '->' expr ] ':' block
     | 'for' targets 'in' starlist ':' block [ else ] | 'with' withs ':' block )
-  | { '@' named 'NL' } 'class' name [ '[' slices ']' ] [ '(' [ args ] ')' ] ':' block
+  | { '@' named 'NL' } 'class' name [ tparams ] [ '(' [ args ] ')' ] ':' block
   | 'if' named ':' block { 'elif' named ':' block } [ else ] | 'while' named ':' block [ else ]
   | 'try' ':' block ( except { except } [ else ] [ finally ] | finally )
   | 'match' starlist ':' 'NL' 'IN' case { case } 'DE' ;
@@ -42,26 +45,40 @@ except = 'except' [ '*' ] [ starlist [ 'as' name ] ] ':' block ;
 withs = with { ',' with } | '(' with { ',' with } [ ',' ] ')' ;
 with = expr [ 'as' target ] ;
 targets = target { ',' target } [ ',' ] ;
-target = [ '*' ] primary ;
-params = param { ',' param } [ ',' ] ;
-param = name [ ':' expr ] [ '=' expr ] | '*' [ name [ ':' [ '*' ] expr ] ] | '**' name [ ':' expr ] | 'b' ;
-lparams = lparam { ',' lparam } [ ',' ] ;
-lparam = name [ '=' expr ] | '*' [ name ] | '**' name | 'b' ;
+target = [ '*' ] ( single | '(' [ yield | items ] ')' | '[' [ items ] ']' ) ;
+single = name | atom { trailer } ( '.' name | '[' slices ']' ) ;
+trailer = '.' name | '(' [ args ] ')' | '[' slices ']' ;
+params = plain pmore | plain '=' expr dmore | pstar | pdstar ;
+plain = name [ ':' expr ] ;
+pmore = [ ',' [ plain pmore | '/' pmore | plain '=' expr dmore | pstar | pdstar ] ] ;
+dmore = [ ',' [ plain '=' expr dmore | '/' dmore | pstar | pdstar ] ] ;
+pstar = '*' ( name [ ':' [ '*' ] expr ] smore | ',' plain [ '=' expr ] smore ) ;
+smore = [ ',' [ plain [ '=' expr ] smore | pdstar ] ] ;
+pdstar = '**' plain [ ',' ] ;
+lparams = name lpmore | name '=' expr ldmore | lstar | ldstar ;
+lpmore = [ ',' [ name lpmore | '/' lpmore | name '=' expr ldmore | lstar | ldstar ] ] ;
+ldmore = [ ',' [ name '=' expr ldmore | '/' ldmore | lstar | ldstar ] ] ;
+lstar = '*' ( name lsmore | ',' name [ '=' expr ] lsmore ) ;
+lsmore = [ ',' [ name [ '=' expr ] lsmore | ldstar ] ] ;
+ldstar = '**' name [ ',' ] ;
 starlist = star { ',' star } [ ',' ] ;
 star = '*' expr | named ;
 named = expr [ ':=' expr ] ;
 expr = 'lambda' [ lparams ] ':' expr | operation [ 'if' operation 'else' expr ] ;
-operation = unary { binary unary } ;
-binary = 'and' | 'or' | 'in' | 'not' 'in' | 'is' [ 'not' ] | 'b' | '-' | '+' | '*' | '**' | '@' ;
-unary = { 'not' | '-' | '+' | 'u' | 'await' } primary ;
-primary = atom { '.' name | '(' [ args ] ')' | '[' slices ']' } ;
-atom = name | 'n' | 's' { 's' } | '...' | '(' [ yield | items ] ')' | '[' [ items ] ']' | '{' [ entries ] '}' ;
+operation = { 'not' } sum { ( 'and' | 'or' ) { 'not' } sum } ;
+sum = factor { binary factor } ;
+binary = 'in' | 'not' 'in' | 'is' [ 'not' ] | 'b' | '/' | '-' | '+' | '*' | '**' | '@' ;
+factor = { '-' | '+' | 'u' | 'await' } primary ;
+primary = atom { trailer } ;
+atom = name | 'k' | 'n' | 's' { 's' } | '...' | '(' [ yield | items ] ')' | '[' [ items ] ']' | '{' [ entries ] '}' ;
 items = star ( comp | { ',' star } [ ',' ] ) ;
 entries = star ( comp | { ',' star } [ ',' ] ) | entry ( comp | { ',' entry } [ ',' ] ) ;
 entry = expr ':' expr | '**' expr ;
 comp = [ 'async' ] 'for' targets 'in' operation { 'if' operation | [ 'async' ] 'for' targets 'in' operation } ;
-args = arg { ',' arg } [ ',' ] ;
-arg = named [ comp ] | name '=' expr | '*' expr | '**' expr ;
+args = named comp | named amore | '*' expr amore | name '=' expr kmore | '**' expr kkmore ;
+amore = [ ',' [ named amore | '*' expr amore | name '=' expr kmore | '**' expr kkmore ] ] ;
+kmore = [ ',' [ name '=' expr kmore | '*' expr kmore | '**' expr kkmore ] ] ;
+kkmore = [ ',' [ name '=' expr kkmore | '**' expr kkmore ] ] ;
 slices = slice { ',' slice } [ ',' ] ;
 slice = star | [ expr ] ':' [ expr ] [ ':' [ expr ] ] ;
 """
@@ -69,17 +86,18 @@ slice = star | [ expr ] ':' [ expr ] [ ':' [ expr ] ] ;
 # T(...) stands for TypeScript only; B0 rules are the B rules of expressions that may not begin with an object.
 _ECMA = """
 file = { item } ;
-item = 'import' ( 's' | [T('type')] importing 'from' 's' ) [ 'with' object ] ';'
+item = 'import' ( 's' | [T('type')] importing 'from' 's' ) [ 'with' object ] ';' T( | 'import' [ 'type' ] bind '=' expr ';' | 'export' '=' expr ';' | 'export' 'as' bind bind ';' )
   | 'export' ( 'default' ( function | class | expr ';' ) | '*' [ 'as' name ] 'from' 's' ';' | [T('type')] braces [ 'from' 's' ] ';' | declaration )
   | stmt ;
 importing = 'i' [ ',' ( '*' 'as' name | braces ) ] | '*' 'as' name | braces ;
 braces = '{' [ spec { ',' spec } [ ',' ] ] '}' ;
 spec = [T('type')] ( name | 's' ) [ 'as' ( name | 's' ) ] ;
-declaration = variables ';' | function | { 'D' [ '(' [ args ] ')' ] { '.' name } } class T( | interface | { 'm' } class | 'type' bind [ tparams ] '=' type ';' | [ 'const' ] 'enum' bind object | ( 'namespace' | 'module' ) ( bind { '.' name } | 's' ) block | 'declare' declaration | 'declare' 'function' bind signature ';' ) ;
-variables = ( 'const' | 'let' | 'var' ) variable { ',' variable } ;
+declaration = variables ';' | function | { 'D' [ '(' [ args ] ')' ] { '.' name } } class T( | interface | { 'm' } class | 'type' bind [ tparams ] '=' type ';' | [ 'const' ] 'enum' bind object | ( 'namespace' | 'module' ) ( bind { '.' name } | 's' ) block | 'declare' declaration | 'declare' 'const' variable { ',' variable } ';' | 'declare' bind block | 'declare' 'function' bind signature ';' ) ;
+variables = ( 'let' | 'var' ) variable { ',' variable } | 'const' constant { ',' constant } ;
+constant = binding [T('!')] T([ ':' type ]) '=' expr ;
 variable = binding [T('!')] T([ ':' type ]) [ '=' expr ] ;
 binding = bind | array | object ;
-bind = 'i' | 'm' | 'async' | 'of' | 'as' | 'from' T( | 'type' | 'namespace' | 'declare' | 'is' | 'module' | 'keyof' | 'infer' | 'satisfies' | 'asserts' ) ;
+bind = 'i' | 'm' | 'async' | 'of' | 'as' | 'from' T( | 'type' | 'namespace' | 'declare' | 'is' | 'module' | 'keyof' | 'infer' | 'satisfies' | 'asserts' | 'unique' ) ;
 name = bind | 'await' | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'export'
   | 'extends' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'let' | 'new' | 'return' | 'super' | 'switch' | 'this'
   | 'throw' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'yield' T( | 'interface' | 'enum' | 'implements' ) ;
@@ -95,24 +113,32 @@ signature = T([ tparams ]) '(' [ params ] ')' T([ ':' type ]) ;
 params = param { ',' param } [ ',' ] ;
 param = { 'D' [ '(' [ args ] ')' ] } T({ 'm' }) [ '...' ] ( binding | 'this' ) T([ '?' ] [ ':' type ]) [ '=' expr ] ;
 class = 'class' [ bind ] T([ tparams ]) [ 'extends' postfix T([ typeargs ]) ] T([ 'implements' type { ',' type } ]) '{' { member } '}' ;
-member = ';' | 'm' block | { 'D' [ '(' [ args ] ')' ] } { 'm' | 'async' } [ '*' ] key T([ '?' | '!' ]) ( signature ( block T( | ';' ) ) | T([ ':' type ]) [ '=' expr ] ';' ) ;
+member = ';' | 'm' block | { 'D' [ '(' [ args ] ')' ] } { 'm' | 'async' T( | 'declare' ) } [ '*' ] key T([ '?' | '!' ]) ( signature ( block T( | ';' ) ) | T([ ':' type ]) [ '=' expr ] ';' ) ;
 key = name | 's' | 'n' | '[' expr ']' ;
 exprs = expr { ',' expr } ;
-expr = operation [ '?' expr ':' expr | ( '=' | 'A' ) expr ] | arrow | 'yield' [ '*' ] [ expr ] ;
+expr = ( place | object ) settled | value unsettled | prefix { prefix T( | '<' type '>' ) } postfix [ '++' | '--' ] rest T( | '<' type '>' unary rest ) | arrow | 'yield' [ '*' ] [ expr ] ;
 exprs0 = expr0 { ',' expr } ;
-expr0 = operation0 [ '?' expr ':' expr | ( '=' | 'A' ) expr ] | arrow | 'yield' [ '*' ] [ expr ] ;
+expr0 = place settled | value0 unsettled | prefix { prefix T( | '<' type '>' ) } postfix [ '++' | '--' ] rest T( | '<' type '>' unary rest ) | arrow | 'yield' [ '*' ] [ expr ] ;
+settled = ( '=' | 'A' ) expr | unsettled ;
+unsettled = member1 settled | call unsettled | [ '++' | '--' ] rest ;
+rest = { binary unary } [ '?' expr ':' expr ] ;
+member1 = ( '.' | '?.' ) name | '?.' '[' exprs ']' | '[' exprs ']' T( | '!' | 'as' type ) ;
+call = '?.' '(' [ args ] ')' | '(' [ args ] ')' | 't' T( | ( 'as' 'const' | 'satisfies' ( type | 'const' ) ) | typeargs '(' [ args ] ')' ) ;
 arrow = [ 'async' ] ( bind | signature ) '=>' ( expr0 | block ) ;
 operation = unary { binary unary } ;
 operation0 = unary0 { binary unary } ;
 binary = 'b' | '+' | '-' | '*' | '|' | '&' | '||' | '&&' | '**' | '<' | '>' [ '>' [ '>' ] ] [ '=' ] | 'in' | 'instanceof' ;
 prefix = '!' | '-' | '+' | 'u' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--' ;
-unary = { prefix } postfix [ '++' | '--' ] ;
-unary0 = prefix unary | postfix0 [ '++' | '--' ] ;
+unary = { prefix T( | '<' type '>' ) } postfix [ '++' | '--' ] ;
+unary0 = prefix unary T( | '<' type '>' unary ) | postfix0 [ '++' | '--' ] ;
 postfix = primary { trailer } ;
 postfix0 = primary0 { trailer } ;
-trailer = ( '.' | '?.' ) name | '?.' ( '[' exprs ']' | '(' [ args ] ')' ) | '[' exprs ']' | '(' [ args ] ')' | 's' T( | '!' | ( 'as' | 'satisfies' ) ( type | 'const' ) | typeargs '(' [ args ] ')' ) ;
-primary = primary0 | object | function | class ;
-primary0 = bind | 'n' | 's' | 'r' | 'this' | 'super' | '(' exprs ')' | array | 'new' ( '.' name | callee [ '(' [ args ] ')' ] ) | 'import' ( '(' args ')' | '.' name ) | 'export' '(' [ args ] ')' ;
+trailer = member1 | call ;
+primary = place | object | value ;
+primary0 = place | value0 ;
+value = value0 | function | class ;
+place = bind | array | '(' exprs ')' ;
+value0 = 'n' | 's' | 't' | 'r' | 'this' | 'super' | 'new' ( '.' name | callee [ '(' [ args ] ')' ] ) | 'import' ( '(' args ')' | '.' name ) | 'export' '(' [ args ] ')' ;
 callee = primary { ( '.' | '?.' ) name | '[' exprs ']' } T([ typeargs ]) ;
 array = '[' { ',' } [ element { ',' { ',' } element } { ',' } ] ']' ;
 element = [ '...' ] expr ;
@@ -129,19 +155,19 @@ tparams = '<' tparam { ',' tparam } [ ',' ] '>' ;
 tparam = [ 'const' ] bind [ 'extends' type ] [ '=' type ] ;
 typeargs = '<' type { ',' type } '>' ;
 type = [ '|' | '&' ] unit { ( '|' | '&' ) unit } [ 'extends' type '?' type ':' type ] | [ 'new' ] [ tparams ] '(' [ params ] ')' '=>' type ;
-unit = { 'keyof' | 'typeof' | 'infer' | 'm' } named { '[' [ type ] ']' } ;
-named = ( bind | 'this' ) { '.' name } [ typeargs ] | 's' | [ '-' ] 'n' | 'void' | '(' type ')' | shape | '[' [ element2 { ',' element2 } [ ',' ] ] ']'
+unit = { 'keyof' | 'typeof' | 'infer' | 'm' | 'unique' } named { '[' [ type ] ']' } ;
+named = ( bind | 'this' ) { '.' name } [ typeargs ] | 's' | 't' | [ '-' ] 'n' | 'void' | '(' type ')' | shape | '[' [ element2 { ',' element2 } [ ',' ] ] ']'
   | [ 'asserts' ] ( bind | 'this' ) 'is' type | 'asserts' bind | 'import' '(' 's' ')' { '.' name } [ typeargs ] ;
 """
 
 _JAVA = """
-file = [ { annotation } 'package' dotted ';' ] { 'import' [ 'm' ] dotted [ '.' '*' ] ';' | ';' } { typedecl | ';' } ;
+file = [ { annotation } 'package' dotted ';' ] { 'import' [ 'm' ] dotted [ '.' '*' ] ';' | ';' } { typedecl | ';' } | { annotation } [ name ] name dotted '{' { name [ 'm' | name ] dotted [ name dotted { ',' dotted } ] ';' } '}' ;
 name = 'i' | 'record' | 'permits' | 'yield' | 'package' ;
 dotted = name { '.' name } ;
 annotation = '@' dotted [ '(' [ annarg { ',' annarg } [ ',' ] ] ')' ] ;
 annarg = [ name '=' ] ( expr | annotation | braces ) ;
 braces = '{' [ ( expr | annotation | braces ) { ',' ( expr | annotation | braces ) } ] [ ',' ] '}' ;
-mods = { 'm' | 'default' | 'synchronized' | annotation } ;
+mods = { 'm' | 'default' | 'synchronized' | name '-' 'm' | annotation } ;
 typedecl = mods typebody ;
 typebody = 'class' name [ tparams ] [ 'extends' type ] [ 'implements' types ] [ 'permits' types ] body
   | 'interface' name [ tparams ] [ 'extends' types ] [ 'permits' types ] body | '@' 'interface' name body
@@ -162,22 +188,34 @@ declarators = declarator { ',' declarator } ;
 declarator = name { '[' ']' } [ '=' init ] ;
 init = expr | '{' [ init { ',' init } ] [ ',' ] '}' ;
 block = '{' { stmt } '}' ;
-stmt = block | ';' | { 'm' | annotation } ( type declarators ';' | typebody ) | expr ';' | name ':' stmt
+stmt = block | ';' | { 'm' | annotation } ( type declarators ';' | typebody ) | effect ';' | name ':' stmt
   | 'if' '(' expr ')' stmt [ 'else' stmt ] | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
-  | 'for' '(' ( [ { 'm' | annotation } type declarators | expr { ',' expr } ] ';' [ expr ] ';' [ expr { ',' expr } ] | { 'm' | annotation } type name ':' expr ) ')' stmt
+  | 'for' '(' ( [ { 'm' | annotation } type declarators | effect { ',' effect } ] ';' [ expr ] ';' [ effect { ',' effect } ] | { 'm' | annotation } type name ':' expr ) ')' stmt
   | 'try' [ '(' resource { ';' resource } [ ';' ] ')' ] block { 'catch' '(' { 'm' | annotation } type { 'b' type } name ')' block } [ 'finally' block ]
   | switch | 'return' [ expr ] ';' | 'throw' expr ';' | ( 'break' | 'continue' ) [ name ] ';' | 'yield' expr ';'
   | 'synchronized' '(' expr ')' block | 'assert' expr [ ':' expr ] ';' ;
 resource = { 'm' } type name '=' expr | expr ;
 switch = 'switch' '(' expr ')' '{' { ( 'case' label { ',' label } [ 'if' expr ] | 'default' ) ( ':' { stmt } | '->' ( block | expr ';' | 'throw' expr ';' ) ) } '}' ;
-label = operation [ name ] | 'default' ;
-expr = operation [ '?' expr ':' expr | ( '=' | 'A' | '>' '>' [ '>' ] '=' ) expr ] | lambda ;
+label = operation [ name ] [ name expr ] | 'default' ;
+expr = name settled | value unsettled | prefix { prefix } postfix { '++' | '--' } rest | '(' name ')' ( '=' | 'A' ) expr | lambda ;
+settled = ( '=' | 'A' | '>' '>' [ '>' ] '=' ) expr | unsettled ;
+unsettled = ( '.' name | '[' expr ']' ) settled | call unsettled | { '++' | '--' } rest ;
+rest = { binary unary | 'instanceof' [ 'm' ] type [ name | '(' [ params ] ')' ] } [ '?' expr ':' expr ] ;
+call = '.' ( [ targs ] ( name | 'super' ) '(' [ args ] ')' | 'super' | 'class' | 'this' | 'new' creator ) | '::' ( name | 'new' ) ;
+invocation = '.' ( [ targs ] ( name | 'super' ) '(' [ args ] ')' | 'new' creator ) ;
+effect = ( '++' | '--' ) unary | '(' name ')' ( '=' | 'A' ) expr | name placed | ( name | 'this' | 'super' ) '(' [ args ] ')' called | 'new' creator called | ( 'n' | 's' | 'this' | 'super' | '(' ( expr | lambda ) ')' ) unplaced | switch | name [ targs ] '.' 'class' unplaced ;
+placed = ( '=' | 'A' | '>' '>' [ '>' ] '=' ) expr | '++' | '--' | unplaced ;
+called = [ unplaced ] ;
+unplaced = ( '.' name | '[' expr ']' ) placed | invocation called | '.' ( 'this' | 'super' | 'class' ) unplaced ;
 lambda = ( name | '(' [ name { ',' name } | params ] ')' ) '->' ( expr | block ) ;
 operation = unary { binary unary | 'instanceof' [ 'm' ] type [ name | '(' [ params ] ')' ] } ;
 binary = 'b' | '*' | '+' | '-' | '&' | '<' | '>' [ '>' [ '>' ] ] [ '=' ] ;
-unary = { 'u' | '+' | '-' | '++' | '--' | '(' type { '&' type } ')' } postfix { '++' | '--' } ;
-postfix = primary { '.' ( [ targs ] ( name | 'super' ) [ '(' [ args ] ')' ] | 'class' | 'this' | 'new' creator ) | '[' expr ']' | '::' ( name | 'new' ) } ;
-primary = name [ '(' [ args ] ')' ] | 'n' | 's' | ( 'this' | 'super' ) [ '(' [ args ] ')' ] | '(' expr ')' | '(' lambda ')' | 'new' creator | switch | type ( '::' ( name | 'new' ) | '.' 'class' ) ;
+prefix = 'u' | '+' | '-' | '++' | '--' | '(' type { '&' type } ')' ;
+unary = { prefix } postfix { '++' | '--' } ;
+postfix = primary { trailer } ;
+trailer = '.' ( [ targs ] ( name | 'super' ) [ '(' [ args ] ')' ] | 'class' | 'this' | 'new' creator ) | '[' expr ']' | '::' ( name | 'new' ) ;
+primary = name | value ;
+value = name '(' [ args ] ')' | 'n' | 's' | ( 'this' | 'super' ) [ '(' [ args ] ')' ] | '(' expr ')' | '(' lambda ')' | 'new' creator | switch | type ( '::' ( name | 'new' ) | '.' 'class' ) ;
 creator = { annotation } ( 'p' | name [ targs ] { '.' name [ targs ] } ) ( '(' [ args ] ')' [ body ] | '[' expr ']' { '[' [ expr ] ']' } | '[' ']' { '[' ']' } '{' [ init { ',' init } ] [ ',' ] '}' ) ;
 args = expr { ',' expr } ;
 """
@@ -361,7 +399,7 @@ def classes(language: str, toks: list[str]) -> tuple[list[str], list[int] | None
 def _python_layout(toks: list[str], raw: list[str]) -> tuple[list[str], list[int]]:
     """Line ends become NL, changes of indentation IN and DE; both vanish within brackets. An indentation that matches no
     outer one gives X."""
-    out, at, levels, depth = [], [], [0], 0
+    out, at, levels, depth = [], [], [(0, 0)], 0
     started = False
     for k, c in enumerate(raw):
         if c in ("(", "[", "{"):
@@ -377,18 +415,21 @@ def _python_layout(toks: list[str], raw: list[str]) -> tuple[list[str], list[int
                 continue
             t = toks[k]
             line = t[t.rfind("\n") + 1 :] if "\n" in t else t
-            width = len(line.expandtabs(8))
+            width = len(line.expandtabs(8)), len(line)  # tabs may not decide how two lines compare
             if started:
                 out.append("NL")
                 at.append(k)
-            elif not started and width == 0:
+            elif not started and width[0] == 0:
                 continue
-            if width > levels[-1]:
+            if width[0] > levels[-1][0]:
+                if width[1] <= levels[-1][1]:
+                    out.append("X")
+                    at.append(k)
                 levels.append(width)
                 out.append("IN")
                 at.append(k)
             else:
-                while width < levels[-1]:
+                while width[0] < levels[-1][0]:
                     levels.pop()
                     out.append("DE")
                     at.append(k)
@@ -414,9 +455,14 @@ def _python_layout(toks: list[str], raw: list[str]) -> tuple[list[str], list[int
 _BEFORE_REGEX = set("( , = : [ ! & | ? { } ; + - * A b < > u".split()) | {"=>", "&&", "||", "return", "typeof", "case", "in", "of", "..."}
 
 
+_INDENTED = re.compile(r"[ \t]+[^\s#\\]")
+
+
 def parse(language: str, text: str) -> tuple[str, int]:
     """``("ok", -1)``, ``("broken", index of the failing token)`` or ``("truncated", number of tokens)``."""
     toks = tokens(language, text)
+    if language == "python" and _INDENTED.match(text):
+        return "broken", 0
     g = grammar(language)
     cls, at = classes(language, toks)
     if language in ("javascript", "typescript"):
@@ -443,7 +489,7 @@ def _ecma_parse(g: Grammar, toks: list[str], raw: list[str]) -> tuple[str, int]:
             fresh = fresh or "\n" in toks[k]
             k += 1
             continue
-        if c == "b" and toks[k] == "/" and prev in _BEFORE_REGEX:
+        if c == "b" and toks[k] == "/" and (prev in _BEFORE_REGEX or prev == ")" and s[c] is g.empty):
             end, bracket = k + 1, False
             while end < n and raw[end] != "\n" and (bracket or toks[end] != "/"):
                 bracket = toks[end] == "[" or bracket and toks[end] != "]"

@@ -30,7 +30,7 @@ _SIGNS = set("+ - * & ! ~ ** <- ++ -- ...".split())
 #: Words that are called or indexed as names are.
 _CALLED = set("super this self new constructor fn func record".split())
 _CALLED_IN = {("import", "javascript"), ("import", "typescript"), ("pub", "rust")}
-_ENDS = {"i", "n", "s", ")", "]", "}", "m", "p", "l", "++", "--", "break", "continue", "return", "pass", "this", "super", "self"}
+_ENDS = {"i", "n", "s", "t", "k", ")", "]", "}", "m", "p", "l", "++", "--", "break", "continue", "return", "pass", "this", "super", "self"}
 _FOLLOWS = {"else", "catch", "finally", "from", "as", "in", "of", "instanceof", "is", "satisfies"}
 
 
@@ -150,9 +150,9 @@ def _space(language: str, p: str, c: str, sign: bool) -> str:
     if p in _OPEN or c in _CLOSE:
         return " " if (p == "{" or c == "}") and language in ("javascript", "typescript", "rust") and not (p == "{" and c == "}") else ""
     if c == "(":
-        return "" if p in ("i", "m", ")", "]", "s", "}", ">", "!") or p in _CALLED or (p, language) in _CALLED_IN else " "
+        return "" if p in ("i", "m", ")", "]", "s", "t", "}", ">", "!") or p in _CALLED or (p, language) in _CALLED_IN else " "
     if c == "[":
-        return "" if p in ("i", ")", "]", "s", "}", ">", "p", "#", "!") else " "
+        return "" if p in ("i", ")", "]", "s", "t", "}", ">", "p", "#", "!") else " "
     if c == "!" and p == "i":
         return ""
     return " "

@@ -14,6 +14,9 @@ EXTENSIONS = {".py": "python", ".ts": "typescript", ".js": "javascript", ".java"
 _CSTRING = r'"(?:[^"\\\n]|\\.)*+"'
 _CCHAR = r"'(?:[^'\\\n]|\\.)*+'"
 _BLOCK = r"/\*(?:.*?\*/|.*)"
+_IN_COMMENT = r"[^*/]|\*(?!/)|/(?!\*)"
+#: Block comments of Rust nest; three levels are told.
+_NESTED = rf"/\*(?:{_IN_COMMENT}|/\*(?:{_IN_COMMENT}|/\*(?:{_IN_COMMENT})*+\*/)*+\*/)*+(?:\*/|.*)"
 _LINE = r"//[^\n]*"
 _WORD = r"[^\W\d]\w*"
 _NUMBER = r"0[xXbBoO][\da-fA-F_]+\w*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?\w*"
@@ -30,7 +33,7 @@ _PATTERNS = {
     + r"|\.\.\.|->|::|==|!=|<=|\+\+|--|&&|\|\||<<=|<<|[-+*/%&|^]=|[^ \t\f\n]",
     "go": _LINE + "|" + _BLOCK + "|" + _CSTRING + "|" + _CCHAR + r"|`[^`]*`|" + _WORD + "|" + _NUMBER + "i?"
     + r"|\n|\.\.\.|:=|<-|==|!=|<=|>=|\+\+|--|&&|\|\||&\^=|<<=|>>=|&\^|<<|>>|[-+*/%&|^]=|[^ \t\f]",
-    "rust": _LINE + "|" + _BLOCK + r'|b?r(\#*)".*?"\1|[bc]?"(?:[^"\\]|\\.)*+"|' + r"b?'(?:[^'\\\n]|\\[^\n]+?)'|'[^\W\d]\w*|" + r"r\#\w+|" + _WORD
+    "rust": _LINE + "|" + _NESTED + r'|b?r(\#*)".*?"\1|[bc]?"(?:[^"\\]|\\.)*+"|' + r"b?'(?:[^'\\\n]|\\[^\n]+?)'|'[^\W\d]\w*|" + r"r\#\w+|" + _WORD
     + r"|0[xbo][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?\d+)?\w*" + r"|\.\.=|\.\.\.|\.\.|=>|->|::|==|!=|<=|&&|\|\||[-+*/%&|^]=|[^ \t\f\n]",
 }
 _PATTERNS["typescript"] = _PATTERNS["javascript"]
@@ -65,7 +68,7 @@ _KEYWORDS = {
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
     "rust": "as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self static struct super trait type union unsafe use where while",
 }
-_KEYWORDS["typescript"] = _KEYWORDS["javascript"] + " interface type enum implements namespace declare satisfies is keyof infer module asserts"
+_KEYWORDS["typescript"] = _KEYWORDS["javascript"] + " interface type enum implements namespace declare satisfies is keyof infer module asserts unique"
 _MODIFIERS = {
     "javascript": "static get set",
     "typescript": "static get set public private protected readonly abstract override",
@@ -74,7 +77,7 @@ _MODIFIERS = {
 _PRIMITIVES = {"java": "int long short byte char boolean float double void"}
 #: Operator tokens by class: A assigns, b only joins two operands, u only precedes one; others are classes of their own.
 _OPERATORS = {
-    "python": {"A": "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=", "b": "// % == != <= >= < > & | ^ << >> /", "u": "~"},
+    "python": {"A": "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=", "b": "// % == != <= >= < > & | ^ << >>", "u": "~"},
     "javascript": {"A": "+= -= *= /= %= **= <<= &= |= ^= &&= ||= ??=", "b": "=== !== == != <= && || ?? / % ^ ** <<", "u": "~"},
     "typescript": {"A": "+= -= *= /= %= **= <<= &= |= ^= &&= ||= ??=", "b": "=== !== == != <= && || ?? / % ^ ** <<", "u": "~"},
     "java": {"A": "+= -= *= /= %= <<= &= |= ^=", "b": "== != <= && || / % ^ | <<", "u": "! ~"},
@@ -82,6 +85,19 @@ _OPERATORS = {
     "rust": {"A": "+= -= *= /= %= &= |= ^=", "b": "== != <= / % ^", "u": ""},
 }
 _FSTRING = re.compile(r"(?:[^{}]|\{\{|\}\}|\{[^{}]+(?:\{[^{}]*\}[^{}]*)*\})*+", re.S)
+#: Number literals by language; a token that begins like one and isn't is invalid.
+_DIGITS = r"\d(?:_?\d)*"
+_FLOAT = rf"(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+_RADIX = r"0[xX]_?[\da-fA-F](?:_?[\da-fA-F])*|0[oO]_?[0-7](?:_?[0-7])*|0[bB]_?[01](?:_?[01])*"
+_NUMBERS = {
+    "python": rf"{_RADIX}|0(?:_?0)*|[1-9](?:_?\d)*|{_DIGITS}[jJ]|(?:{_DIGITS}\.(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][+-]?{_DIGITS}[jJ]?",
+    "javascript": rf"(?:{_RADIX}|{_DIGITS})n?|{_FLOAT}",
+    "java": rf"(?:0[xX][\da-fA-F](?:_*[\da-fA-F])*|0[bB][01](?:_*[01])*|\d(?:_*\d)*)[lL]?|(?:\d(?:_*\d)*\.?(?:\d(?:_*\d)*)?|\.\d(?:_*\d)*)(?:[eE][+-]?\d+)?[fFdD]?|0[xX][\da-fA-F_.]+[pP][+-]?\d+[fFdD]?",
+    "go": rf"(?:{_RADIX}|{_FLOAT}|0[xX][\da-fA-F_.]*[pP][+-]?\d+)i?",
+    "rust": r"(?:0x_*[\da-fA-F][\da-fA-F_]*|0o_*[0-7][0-7_]*|0b_*[01][01_]*|\d[\d_]*(?:\.\d[\d_]*|\.)?(?:[eE][+-]?_*\d[\d_]*)?)(?:[iu](?:8|16|32|64|128|size)|f(?:16|32|64|128))?",
+}
+_NUMBERS = {k: re.compile(v) for k, v in (_NUMBERS | {"typescript": _NUMBERS["javascript"]}).items()}
+_JAVA_CHAR = re.compile(r"'(?:[^'\\]|\\(?:[btnfrs0\"'\\]|[0-7]{1,3}|u+[\da-fA-F]{4}))'")
 _PUNCTUATION = set("()[]{}<>,;:.?=+-*&|!@#") | {"...", ":=", "->", "=>", "?.", "++", "--", "<-", "::", "..", "..=", "||", "&&", "**", "_", "\n"}
 
 
@@ -99,6 +115,8 @@ class Classes(dict):
         self.fixed |= {w: "m" for w in _MODIFIERS.get(language, "").split()} | {w: "p" for w in _PRIMITIVES.get(language, "").split()}
         for c, ops in _OPERATORS[language].items():
             self.fixed |= {op: c for op in ops.split()}
+        if language == "python":
+            self.fixed |= dict.fromkeys(("None", "True", "False"), "k") | {"/": "/"}
         if language == "go":
             self.fixed["~"] = "~"
         if language == "rust":
@@ -106,7 +124,7 @@ class Classes(dict):
 
     def __missing__(self, token: str) -> str:
         c = self.classed(token)
-        if len(token) <= 40 and c not in ("s", ""):
+        if len(token) <= 40 and c not in ("s", "t", ""):
             if len(self) >= self.most:
                 self.clear()
             self[token] = c
@@ -138,13 +156,15 @@ class Classes(dict):
         elif first in "\"'`":
             if lang == "rust" and first == "'" and t[-1] != "'" and len(t) > 1:
                 return "l"
-            return "s" if len(t) > 1 and t[-1] == first else "X"
+            if lang == "java" and first == "'" and len(t) < 12 and not _JAVA_CHAR.fullmatch(t) and not (len(t) == 4 and ord(t[1]) > 0xD7FF):
+                return "X"
+            return ("t" if first == "`" and lang != "go" else "s") if len(t) > 1 and t[-1] == first else "X"
         elif lang == "rust" and t[-1] in "\"#'" and first in "brc" and len(t) > 2:
             return "s"
         if first == "\n":
             return "\n"
         if first.isdigit() or (first == "." and len(t) > 1 and t[1].isdigit()):
-            return "n"
+            return "n" if _NUMBERS[lang].fullmatch(t) else "X"
         if first == "_" or first.isalpha() or (first == "$" and lang in ("javascript", "typescript", "java")):
             return "i"
         if len(t) > 1 and first in "@#" and lang in ("javascript", "typescript"):

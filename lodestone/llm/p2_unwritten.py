@@ -122,7 +122,7 @@ def measure(language: str, text: str) -> tuple:
         skip = set(doc)
     else:
         canonical, skip = count[";"] + count["{"] + count["}"], ()
-    literal = sum(len(t) for k, (t, c) in enumerate(zip(toks, cls, strict=True)) if (c == "s" or c == "n") and k not in skip)
+    literal = sum(len(t) for k, (t, c) in enumerate(zip(toks, cls, strict=True)) if c in ("s", "t", "n") and k not in skip)
     chars = sum(len(t) for k, (t, c) in enumerate(zip(toks, cls, strict=True)) if c and c != "\n" and k not in skip)
     marks = count[""] + count["\n"] + count["NL"] + count["IN"] + count["DE"]
     comment_lines = sum(t.count("\n") + 1 for t, c in zip(toks, cls, strict=True) if not c) + sum(toks[k].count("\n") + 1 for k in skip)
@@ -134,7 +134,7 @@ def measure(language: str, text: str) -> tuple:
     first = next((c for k, c in enumerate(cls) if c and c != "\n" and k not in skip), "")
     units = layout.repeated_shapes(language, cls)
     deviation = layout.deviation(language, text) if repeats(*units) and grammars.parse(language, text)[0] == "ok" else None
-    return (canonical, code_lines, len(toks) - marks - len(skip), count["i"] + count["m"], count["s"] + count["n"] - len(skip), literal, chars, len(_FUNCTION.findall(text)), max(series.values(), default=0), first not in ("{", "[", "X", "<", "b"), *units, deviation)
+    return (canonical, code_lines, len(toks) - marks - len(skip), count["i"] + count["m"], count["s"] + count["t"] + count["n"] - len(skip), literal, chars, len(_FUNCTION.findall(text)), max(series.values(), default=0), first not in ("{", "[", "X", "<", "b"), *units, deviation)
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
