@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from . import lexing
 from .p4_syntax import is_source
 
-ROWS = "file_path string, lang string, delivered timestamp, rows array<struct<kind: string, line: int, end_line: int, style: string, delta: int, text: string, name: string>>"
+ROWS = "file_path string, delivered timestamp, rows struct<code: array<tinyint>, line: array<int>, end_line: array<int>, text: array<string>>"
+#: Kind, style and delta of a row by its code; the text of a declaration is its name. Rows travel as arrays of small numbers.
+CODES = [("B", None, 1), ("B", None, -1), ("T", None, 0), ("A", None, 0), *(("C", x, 0) for x in ("line", "line_doc", "block", "block_doc")), ("S", "string", 0), *(("D", x, 0) for x in ("plain", "plain_body", "member", "member_body"))]
+_CODE = {x: k for k, x in enumerate(CODES)}
 
 _OTHERS = {
     "javascript": lexing._TEMPLATE + "|" + lexing._CSTRING + "|" + lexing._CCHAR,
@@ -168,21 +171,19 @@ def python_rows(text: str) -> list[tuple]:
 
 
 def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "line", "end_line", "style", "delta", "text", "name"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    names, types = ["code", "line", "end_line", "text"], [pa.int8(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
-        paths, times = batch.column("file_path"), batch.column("delivered")
-        langs, out, offsets = [], [[] for _ in names], [0]
+        paths = batch.column("file_path")
+        out, offsets = [[] for _ in names], [0]
         for path, source in zip(paths.to_pylist(), batch.column("source_bytes"), strict=True):
-            lang = lexing.language_of(path)
-            langs.append(lang)
             if source.is_valid:
-                text = lexing.decode(source.as_buffer())
-                for column, values in zip(out, zip(*(python_rows(text) if lang == "python" else brace_rows(lang, text)), strict=True), strict=False):
-                    column += values
+                lang, text = lexing.language_of(path), lexing.decode(source.as_buffer())
+                for kind, line, end, style, delta, words, name in python_rows(text) if lang == "python" else brace_rows(lang, text):
+                    for column, v in zip(out, (_CODE[kind, style, delta], line, end, name or words), strict=True):
+                        column.append(v)
             offsets.append(len(out[0]))
-        values = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
-        yield pa.RecordBatch.from_arrays([paths, pa.array(langs, pa.string()), times, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["file_path", "lang", "delivered", "rows"])
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, t)) for x, t in zip(out, types, strict=True)]
+        yield pa.RecordBatch.from_arrays([paths, batch.column("delivered"), pa.StructArray.from_arrays(lists, names)], ["file_path", "delivered", "rows"])
 
 
 def functions(rows: DataFrame) -> DataFrame:
@@ -261,11 +262,21 @@ def is_trivial(description: Column, name: Column) -> Column:
 
 
 def lexed(files: DataFrame) -> DataFrame:
-    """The token rows of every source file, of its latest delivery: ``file_path, lang, seq`` and the fields of ``ROWS``."""
+    """The token rows of every source file, of its latest delivery: ``file_path, lang, seq, kind, line, end_line, style, delta, text, name``.
+
+    They are exchanged once, by file, so the windows over a file need no other exchange."""
     time = F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")).alias("delivered")
     tokens = files.filter(is_source(F.col("file_path"))).select("file_path", "source_bytes", time).mapInArrow(token_rows, ROWS)
-    latest = tokens.groupBy("file_path", "lang").agg(F.max_by("rows", "delivered").alias("rows"))
-    return latest.select("file_path", "lang", F.posexplode("rows").alias("seq", "r")).select("file_path", "lang", "seq", "r.*")
+    latest = tokens.groupBy("file_path").agg(F.max_by("rows", "delivered").alias("r"))
+    rows = latest.select("file_path", F.posexplode(F.arrays_zip("r.code", "r.line", "r.end_line", "r.text")).alias("seq", "r"))
+    of_code = lambda k, kind: F.element_at(F.array(*[F.lit(x[k]).cast(kind) for x in CODES]), F.col("r.code").cast("int") + 1)
+    extension = F.lower(F.regexp_extract("file_path", r"(\.[^.]*)$", 1))
+    lang = F.lit(None).cast("string")
+    for e, name in lexing.EXTENSIONS.items():
+        lang = F.when(extension == e, name).otherwise(lang)
+    declared = of_code(0, "string") == "D"
+    return rows.select("file_path", lang.alias("lang"), "seq", of_code(0, "string").alias("kind"), "r.line", "r.end_line", of_code(1, "string").alias("style"), of_code(2, "int").alias("delta"),
+                       F.when(~declared, F.col("r.text")).alias("text"), F.when(declared, F.col("r.text")).alias("name"))
 
 
 def documented(rows: DataFrame) -> DataFrame:
