@@ -39,6 +39,17 @@ def bfs(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
     return seen.filter("hop > 0")
 
 
+def chains(layers: DataFrame) -> DataFrame:
+    """``start, node, hop, chain`` of the layers of ``bfs``: the nodes from the start to each node along the parents, one join a hop."""
+    most = layers.agg(F.max("hop")).first()[0] or 0
+    out = done = layers.filter("hop = 1").select("start", "node", "hop", F.array("parent", "node").alias("chain"))
+    for hop in range(2, most + 1):
+        before = done.select("start", F.col("node").alias("parent"), "chain")
+        done = layers.filter(F.col("hop") == hop).join(before, ["start", "parent"]).select("start", "node", "hop", F.concat("chain", F.array("node")).alias("chain"))
+        out = out.unionByName(done)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: connected components by their smallest member; labels spread along edges and, doubling the reach of
     each round, along the labels' own labels."""

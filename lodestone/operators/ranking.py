@@ -16,6 +16,7 @@ PROFILES = {
     "ci_cd": {"evidence:": 1.0, "references:": 0.8, "defines": 0.5, "imports": 0.3, "calls": 0.2, "called": 0.2, "extends": 0.2, "*": 0.4},
     "performance": {"defines": 0.9, "calls": 1.0, "called": 1.0, "imports": 0.6, "extends": 0.5, "references:": 0.7, "evidence:": 0.3, "*": 0.25},
 }
+PROFILES["large_structural_change"] = PROFILES["refactor"]
 ENTRY_BONUS, IMPACT_BONUS, IMPACT_CAP = 0.2, 0.1, 5
 #: Added before scores are rounded, so that ties of the last digit go up whatever the binary value.
 TIE = 1e-9
@@ -26,16 +27,25 @@ def verb(reason: Column) -> Column:
     return F.element_at(F.split(F.coalesce(reason, F.lit("")), " "), 1)
 
 
-def weight(reason: Column, profile: str = "unknown") -> Column:
-    """Weight of a reason by its first word; a literal map, so nothing is joined."""
-    out = F.lit(PROFILES[profile]["*"])
-    for word, w in PROFILES[profile].items():
-        if word != "*":
-            out = F.when(verb(reason) == word, F.lit(w)).otherwise(out)
+def weight(reason: Column, profile: str | Column = "unknown") -> Column:
+    """Weight of a reason by its first word, for a profile or a column of profiles; literals, so nothing is joined."""
+
+    def of(name: str) -> Column:
+        out = F.lit(PROFILES[name]["*"])
+        for word, w in PROFILES[name].items():
+            if word != "*":
+                out = F.when(verb(reason) == word, F.lit(w)).otherwise(out)
+        return out
+
+    if isinstance(profile, str):
+        return of(profile)
+    out = F.lit(None).cast("double")
+    for name in PROFILES:
+        out = F.when(profile == name, of(name)).otherwise(out)
     return out
 
 
-def relevance(c: DataFrame, profile: str = "unknown", entry: str = "is_entry", impact: str = "impact") -> Column:
+def relevance(c: DataFrame, profile: str | Column = "unknown", entry: str = "is_entry", impact: str = "impact") -> Column:
     """Capped sum of weight, entry bonus and impact bonus, times the three confidences, null ones as 1."""
     base = F.least(weight(F.col("reason"), profile) + F.when(F.col(entry), ENTRY_BONUS).otherwise(0.0) + F.least(F.col(impact), F.lit(IMPACT_CAP)) / IMPACT_CAP * IMPACT_BONUS, F.lit(1.0))
     for confidence in ("anchor_confidence", "ambiguity_confidence", "path_mask_confidence"):

@@ -49,6 +49,37 @@ def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return resolve(calls, "callee_name", symbols, ["function", "method"]).select("caller_file", F.col("id").alias("callee"), F.col("symbol_file").alias("callee_file")).distinct()
 
 
+def candidate_set(names: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """``name, file_path, hop, tier, reason, chain, confidence``: the files that define each name of ``names``, those that call it from
+    the same file or directory (``caller_file, callee``), and those with a type that extends it. A file has one row a name, its first
+    admission by hop and reason; a name of several definitions is ambiguous, with 1 / log2(n + 1) as its confidence."""
+    r = resolve(names, "name", symbols).select("name", "id", "symbol_file")
+    said = lambda verb: F.concat(F.lit(verb + " "), F.col("name"))
+    row = lambda path, hop, verb: (F.col("name"), F.col(path).alias("file_path"), F.lit(hop).alias("hop"), said(verb).alias("reason"), (said("defines") if not hop else F.concat_ws(" > ", said("defines"), said(verb))).alias("chain"))
+    near = (F.col("caller_file") == F.col("symbol_file")) | (P.dirname(F.col("caller_file")) == P.dirname(F.col("symbol_file")))
+    callers = r.join(calls.select(F.col("callee").alias("id"), "caller_file"), "id").filter(near)
+    types = symbols.filter(F.col("kind").isin("class", "interface")).select(F.col("file_path").alias("child_file"), F.explode("base_names").alias("base"))
+    children = r.join(types, F.substring_index("base", ".", -1) == F.substring_index("name", ".", -1))
+    every = r.select(*row("symbol_file", 0, "defines")).unionByName(callers.select(*row("caller_file", 1, "calls"))).unionByName(children.select(*row("child_file", 1, "extends")))
+    first = every.filter("file_path is not null").groupBy("name", "file_path").agg(F.min(F.struct("hop", "reason", "chain")).alias("a"))
+    n = r.groupBy("name").agg(F.count("*").alias("n"))
+    confidence = F.when(F.col("n") > 1, F.round(1 / F.log2(F.col("n") + 1), 4)).otherwise(1.0)
+    return first.join(n, "name").select("name", "file_path", "a.hop", F.when(F.col("a.hop") == 0, "primary").otherwise("supporting").alias("tier"), "a.reason", "a.chain", confidence.alias("confidence"))
+
+
+def symbol_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """``src, dst``: calls of parsed files (``file_path, caller_id, name``) as edges between symbols, kept where caller and callee are
+    local to each other: in one file or directory, or one file imports the other (``file_path, resolved``)."""
+    named = calls.filter("caller_id is not null").select(F.col("caller_id").alias("src"), F.col("file_path").alias("from_file"), F.col("name").alias("called")).distinct()
+    e = resolve(named, "called", symbols, ["function", "method"]).select("src", "from_file", F.col("id").alias("dst"), F.col("symbol_file").alias("to_file")).distinct()
+    local = (F.col("from_file") == F.col("to_file")) | (P.dirname(F.col("from_file")) == P.dirname(F.col("to_file")))
+    if imports is None:
+        return e.filter(local).select("src", "dst").distinct()
+    i = imports.filter("resolved is not null").select(F.col("file_path").alias("from_file"), F.col("resolved").alias("to_file"))
+    i = i.unionByName(i.select(F.col("to_file").alias("from_file"), F.col("from_file").alias("to_file"))).distinct().withColumn("_imports", F.lit(True))
+    return e.join(i, ["from_file", "to_file"], "left").filter(local | F.coalesce("_imports", F.lit(False))).select("src", "dst").distinct()
+
+
 def inheritance_edges(symbols: DataFrame) -> DataFrame:
     """``child, base``: classes and interfaces joined to those that their base names mean."""
     bases = symbols.filter(F.col("kind").isin("class", "interface")).select(F.col("id").alias("child"), F.explode("base_names").alias("base_name"))

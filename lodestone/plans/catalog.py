@@ -21,7 +21,7 @@ INTEGERS = {
     "rank": ["keyword_rank", "tfidf_score", "tfidf_damped_score", "route_groups", "entry_documents", "ppmi_neighbors", "token_overlap_rank", "probe_names", "subsystem_localize", "rank_candidates", "retrieval_rank", "ambiguous_rank", "combined_route"],
     "position": ["scan_files", "evidence_match", "budget_pack", "greedy_fill", "prune_candidates", "probe_paths", "name_candidates"],
     "near_rank": ["near_ties"], "depth": ["path_parts"], "lines": ["line_windows"], "header": ["header_lines"], "files_changed": ["ledger_export"], "selected_files": ["ledger_export"],
-    "version": ["version_latest", "version_lineage"], "token_rank": ["pass_fail_groups"], "unrelated": ["unrelated_files"], "n": ["morph_candidates"], "comment_lines": ["symbol_sources"], "head": ["body_starts"],
+    "version": ["version_latest", "version_lineage"], "token_rank": ["pass_fail_groups"], "unrelated": ["unrelated_files"], "n": ["morph_candidates"], "hop": ["resolve_candidates"], "comment_lines": ["symbol_sources"], "head": ["body_starts"],
 }
 _casts: dict[str, list[str]] = {}
 for _column, _names in INTEGERS.items():

@@ -10,6 +10,8 @@ from ..functions import text as T
 from ..operators import packing as K
 from ..operators import ranking as R
 from ..session import table
+from . import sql
+from .symbol_queries import _EDGES, _dir, call_edges
 
 
 def _candidates(spark, d):
@@ -37,12 +39,10 @@ def rank_candidates(spark, d):
 
 
 def profile_rank(spark, d):
-    """Mean score of the candidates of each reason verb under every profile."""
-    out = None
-    for p in R.PROFILES:
-        s = _scored(spark, d, p).groupBy(F.lit(p).alias("profile"), R.verb(F.col("reason")).alias("verb")).agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Mean score of the candidates of each reason verb under every profile; candidates are read once."""
+    c = _scored(spark, d).withColumn("profile", F.explode(F.array(*[F.lit(p) for p in R.PROFILES])))
+    c = c.withColumn("score", R.relevance(c, F.col("profile")))
+    return c.groupBy("profile", R.verb(F.col("reason")).alias("verb")).agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))
 
 
 def decay_confidence(spark, d):
@@ -122,12 +122,21 @@ def retrieval_rank(spark, d):
 
 
 def prune_candidates(spark, d):
-    """Experimental candidates kept: those in a directory of a better tier, the first eight of them by path."""
+    """Experimental candidates kept: those in the directory of an established one, those that a call connects with an established file, and
+    those whose reason shares a six-letter root with a name that the established ones define; the first eight by path."""
     c = _candidates(spark, d).withColumn("dir", P.dirname(F.col("file_path")))
-    known = c.filter("tier in ('primary', 'supporting')").select("resolution_id", F.element_at(F.split("file_path", "/"), 1).alias("top")).distinct()
-    e = c.filter("tier = 'experimental'").withColumn("top", F.element_at(F.split("file_path", "/"), 1)).join(known, ["resolution_id", "top"], "left_semi")
+    known = c.filter("tier in ('primary', 'supporting')")
+    e = c.filter("tier = 'experimental'").select("resolution_id", "file_path", "dir", F.lower(F.coalesce("reason", F.lit(""))).alias("low"))
+    near = e.join(known.select("resolution_id", "dir").distinct(), ["resolution_id", "dir"], "left_semi").select("resolution_id", "file_path")
+    links = call_edges(spark, d).select(F.col("caller_file").alias("a"), F.col("callee_file").alias("b"))
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    linked = e.join(links, e["file_path"] == F.col("a")).join(known.select("resolution_id", F.col("file_path").alias("b")), ["resolution_id", "b"], "left_semi").select("resolution_id", "file_path")
+    roots = known.filter("reason like 'defines %'").select("resolution_id", F.explode(T.probe_prefixes(F.regexp_replace("reason", r"^\S+ ", ""))).alias("root")).distinct()
+    grams = e.filter(F.length("low") >= T.PROBE).select("resolution_id", "file_path", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - T.PROBE + 1), lambda k: F.substring(F.col("low"), k, F.lit(T.PROBE))))).alias("root"))
+    rooted = grams.join(roots, ["resolution_id", "root"], "left_semi").select("resolution_id", "file_path")
+    kept = near.unionByName(linked).unionByName(rooted).distinct()
     r = F.row_number().over(Window.partitionBy("resolution_id").orderBy("file_path"))
-    return e.withColumn("position", r).filter("position <= 8").select("resolution_id", "file_path", "position")
+    return kept.withColumn("position", r).filter("position <= 8")
 
 
 QUERIES = {f.__name__: f for f in (merge_candidates, rank_candidates, profile_rank, decay_confidence, reason_summary, token_estimate, filler_share, falloff_filter, budget_pack, greedy_fill, package_summary, interval_merge, line_windows, header_lines, retrieval_rank, prune_candidates)}
@@ -190,6 +199,11 @@ ORACLE = {
     "retrieval_rank": f"""WITH {_SC}, r AS (SELECT *, row_number() OVER (PARTITION BY resolution_id ORDER BY score DESC, input_pos, file_path) AS rank FROM sc),
         t AS (SELECT resolution_id, min(file_path) AS file_path FROM r WHERE tier = 'primary' GROUP BY 1)
         SELECT a.resolution_id, t.file_path, r.rank FROM (SELECT DISTINCT resolution_id FROM r) a LEFT JOIN t USING (resolution_id) LEFT JOIN r ON r.resolution_id = t.resolution_id AND r.file_path = t.file_path""",
-    "prune_candidates": f"""WITH {_C}, k AS (SELECT DISTINCT resolution_id, string_split(file_path, '/')[1] AS top FROM c WHERE tier IN ('primary', 'supporting'))
-        SELECT resolution_id, file_path, row_number() OVER (PARTITION BY resolution_id ORDER BY file_path) AS position FROM c WHERE tier = 'experimental' AND (resolution_id, string_split(file_path, '/')[1]) IN (SELECT (resolution_id, top) FROM k) QUALIFY position <= 8""",
+    "prune_candidates": rf"""WITH {_EDGES}, {_C}, k AS (SELECT *, {_dir('file_path')} AS dir FROM c WHERE tier IN ('primary', 'supporting')), x AS (SELECT *, {_dir('file_path')} AS dir FROM c WHERE tier = 'experimental'),
+        l AS (SELECT caller_file AS a, callee_file AS b FROM e UNION SELECT callee_file, caller_file FROM e),
+        w AS (SELECT resolution_id, unnest(regexp_extract_all(regexp_replace(reason, '^\S+ ', ''), '[A-Za-z][A-Za-z0-9_]*')) AS w FROM k WHERE reason LIKE 'defines %'),
+        r AS (SELECT DISTINCT resolution_id, left(lower(w), 6) AS root FROM w WHERE length(w) >= 6 AND lower(w) NOT IN ({sql.STOP})),
+        kept AS (SELECT resolution_id, file_path FROM x SEMI JOIN k USING (resolution_id, dir) UNION SELECT x.resolution_id, x.file_path FROM x JOIN l ON x.file_path = l.a JOIN k ON k.resolution_id = x.resolution_id AND k.file_path = l.b
+          UNION SELECT x.resolution_id, x.file_path FROM x JOIN r ON r.resolution_id = x.resolution_id AND contains(lower(reason), root))
+        SELECT *, row_number() OVER (PARTITION BY resolution_id ORDER BY file_path) AS position FROM kept QUALIFY position <= 8""",
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..operators import graph as G
 from ..operators import packing as K
+from ..operators import resolve as R
 from ..sources import files as S
 from ..sources import parsers as L
-from ..session import ship, table
+from ..session import shared_dir, ship, table
 
 
 def _latest(spark, d):
@@ -35,6 +37,28 @@ def parse_imports(spark, d):
     return L.resolved_imports(L.facts(f).filter("fact = 'import'").select("file_path", "name").distinct(), f.select("file_path"))
 
 
+def _parsed_calls(spark, d):
+    """Local calls between symbols, from parsed calls and imports."""
+    ship(spark)
+    f = _latest(spark, d)
+    facts = L.facts(f)
+    calls = facts.filter("fact = 'call'").select("file_path", F.col("id").alias("caller_id"), "name").distinct()
+    imports = L.resolved_imports(facts.filter("fact = 'import'").select("file_path", "name").distinct(), f.select("file_path"))
+    return R.symbol_calls(calls, R.distinct_symbols(table(spark, d, "symbols")), imports)
+
+
+def parsed_call_edges(spark, d):
+    return _parsed_calls(spark, d)
+
+
+def call_chains(spark, d):
+    """Symbols within three hops that call each called symbol, nearest first, with the chain of calls that leads to it."""
+    shared_dir(spark)
+    back = _parsed_calls(spark, d).filter("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")).checkpoint()
+    reached = G.chains(G.bfs(back, back.select(F.col("src").alias("start")), 3))
+    return reached.select("start", "node", "hop", F.array_join("chain", " < ").alias("chain"))
+
+
 def parse_decorators(spark, d):
     """Decorators by full name and by last segment."""
     ship(spark)
@@ -56,7 +80,7 @@ def doc_prose(spark, d):
     return S.doc_prose(f).select("repo", "file_path", F.length("content").cast("bigint").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (parse_symbols, parse_calls, parse_imports, parse_decorators, call_site_ranges, doc_prose)}
+QUERIES = {f.__name__: f for f in (parse_symbols, parse_calls, parse_imports, parse_decorators, call_site_ranges, doc_prose, parsed_call_edges, call_chains)}
 
 ORACLE = {
     "parse_symbols": "SELECT DISTINCT file_path, id, name, qualified_name, kind, start_line, end_line, parent_id FROM symbols",

@@ -115,17 +115,30 @@ def probe_names(spark, d):
 
 
 def subsystem_localize(spark, d):
-    """Directories, three levels deep, by the share of a question's prefixes that their files' symbols contain; the best five."""
-    s = _symbols(spark, d).filter("file_path is not null and name is not null").select(F.array_join(F.slice(F.split(P.dirname(F.col("file_path")), "/"), 1, 3), "/").alias("directory"), F.lower("name").alias("low")).distinct()
-    grams = s.filter(F.length("low") >= T.PROBE).select("directory", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - T.PROBE + 1), lambda k: F.substring(F.col("low"), k, F.lit(T.PROBE)))).alias("prefix")).distinct()
+    """Directories, up to three levels deep, by the share of a question's prefixes that their name, their files' names or their symbols' names
+    contain; the best five of each question, the larger of equal ones first."""
+    up = lambda p: F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(p), F.lit(3))), lambda n: F.array_join(F.slice(p, 1, n), "/"))).alias("directory")
+    files = table(spark, d, "files").select("file_path").unionByName(table(spark, d, "symbols").select("file_path")).filter("file_path like '%/%'").distinct()
+    below = files.select("file_path", up(F.split(P.dirname(F.col("file_path")), "/")))
+    names = below.select("directory", F.lower(P.basename(F.col("file_path"))).alias("low")).unionByName(below.select("directory", F.lower(P.basename(F.col("directory"))).alias("low")))
+    of_file = table(spark, d, "symbols").filter("name is not null").select("file_path", F.lower("name").alias("low")).distinct()
+    names = names.unionByName(below.join(of_file, "file_path").select("directory", "low")).distinct()
+    grams = names.filter(F.length("low") >= T.PROBE).select("directory", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - T.PROBE + 1), lambda k: F.substring(F.col("low"), k, F.lit(T.PROBE)))).alias("prefix")).distinct()
     q = table(spark, d, "eval_items").select("item_id", T.probe_prefixes(F.col("task_prompt")).alias("p")).filter(F.size("p") > 0)
     q = q.select("item_id", F.size("p").alias("n"), F.explode("p").alias("prefix"))
     h = q.join(grams, "prefix").groupBy("item_id", "directory", "n").agg(F.count("*").alias("hits")).withColumn("confidence", F.round(F.col("hits") / F.col("n"), 6))
-    r = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("confidence"), "directory"))
+    h = h.join(below.groupBy("directory").agg(F.count("*").alias("files")), "directory")
+    r = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("confidence"), F.desc("files"), "directory"))
     return h.withColumn("rank", r).filter("rank <= 5").select("item_id", "directory", "confidence", "rank")
 
 
-QUERIES = {f.__name__: f for f in (name_resolution, resolve_disambiguated, unresolved_refs, call_edges, callers_of, local_callers, package_specificity, inheritance_edges, unresolved_bases, precise_names, class_anchor_methods, constructor_enrich, member_containment, scoring_units, suffix_join, probe_names, subsystem_localize)}
+def resolve_candidates(spark, d):
+    """Name resolution to a candidate set: for each name that reasons define, the files that define it, those nearby that call it, and those
+    whose types extend it, each file by its first admission, with the chain that justifies it and the confidence of an ambiguous name."""
+    return R.candidate_set(_names(spark, d, "defines").select(F.col("raw_name").alias("name")).distinct(), _symbols(spark, d), call_edges(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (name_resolution, resolve_disambiguated, unresolved_refs, call_edges, callers_of, local_callers, package_specificity, inheritance_edges, unresolved_bases, precise_names, class_anchor_methods, constructor_enrich, member_containment, scoring_units, suffix_join, probe_names, subsystem_localize, resolve_candidates)}
 
 _S = "s AS (SELECT * FROM symbols WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id) = 1)"
 
@@ -197,7 +210,16 @@ ORACLE = {
         SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, matches, name) AS rank FROM h QUALIFY rank <= 20""",
     "subsystem_localize": f"""
         WITH {_S}, {_prefixes()}, n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
-        k AS (SELECT DISTINCT array_to_string(string_split({_dir('file_path')}, '/')[:3], '/') AS directory, lower(name) AS low FROM s WHERE file_path IS NOT NULL AND name IS NOT NULL),
-        h AS (SELECT item_id, directory, count(DISTINCT prefix) AS hits FROM q JOIN k ON contains(low, prefix) GROUP BY 1, 2)
-        SELECT item_id, directory, round(hits / n, 6) AS confidence, row_number() OVER (PARTITION BY item_id ORDER BY round(hits / n, 6) DESC, directory) AS rank FROM h JOIN n USING (item_id) QUALIFY rank <= 5""",
+        f AS (SELECT file_path FROM files WHERE file_path LIKE '%/%' UNION SELECT file_path FROM symbols WHERE file_path LIKE '%/%'),
+        b AS (SELECT file_path, array_to_string(string_split({_dir('file_path')}, '/')[:g], '/') AS directory FROM f, unnest([1, 2, 3]) u(g) WHERE g <= len(string_split({_dir('file_path')}, '/'))),
+        k AS (SELECT directory, lower(string_split(file_path, '/')[-1]) AS low FROM b UNION SELECT directory, lower(string_split(directory, '/')[-1]) FROM b UNION SELECT directory, lower(name) FROM b JOIN s USING (file_path) WHERE name IS NOT NULL),
+        h AS (SELECT item_id, directory, count(DISTINCT prefix) AS hits FROM q JOIN k ON contains(low, prefix) GROUP BY 1, 2), z AS (SELECT directory, count(*) AS files FROM b GROUP BY 1)
+        SELECT item_id, directory, round(hits / n, 6) AS confidence, row_number() OVER (PARTITION BY item_id ORDER BY round(hits / n, 6) DESC, files DESC, directory) AS rank FROM h JOIN n USING (item_id) JOIN z USING (directory) QUALIFY rank <= 5""",
+    "resolve_candidates": rf"""
+        WITH {_EDGES}, {_n('defines', 'dn')}, t AS (SELECT DISTINCT raw_name AS name FROM dn), r AS ({_res('t', 't.name', 't.name')}), m AS (SELECT name, count(*) AS n FROM r GROUP BY 1),
+        a AS (SELECT name, symbol_file AS file_path, 0 AS hop, 'defines ' || name AS reason, 'defines ' || name AS chain FROM r
+          UNION ALL SELECT r.name, caller_file, 1, 'calls ' || r.name, 'defines ' || r.name || ' > calls ' || r.name FROM r JOIN e ON e.callee = r.id WHERE caller_file = symbol_file OR {_dir('caller_file')} = {_dir('symbol_file')}
+          UNION ALL SELECT r.name, k.file_path, 1, 'extends ' || r.name, 'defines ' || r.name || ' > extends ' || r.name FROM r JOIN (SELECT file_path, unnest(base_names) AS base FROM s WHERE kind IN ('class', 'interface')) k ON string_split(base, '.')[-1] = string_split(r.name, '.')[-1]),
+        b AS (SELECT * FROM a WHERE file_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name, file_path ORDER BY hop, reason) = 1)
+        SELECT name, file_path, hop, CASE hop WHEN 0 THEN 'primary' ELSE 'supporting' END AS tier, reason, chain, CASE WHEN n > 1 THEN round(1 / log2(n + 1), 4) ELSE 1.0 END AS confidence FROM b JOIN m USING (name)""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import table
+from ..operators.keywords import keyword_hits
+from ..session import ship, table
 from . import sql
 
 #: Words of a question that are no keywords (fixed values).
@@ -61,19 +63,13 @@ def qualified_refs(spark, d):
 def keyword_rank(spark, d):
     """All keywords of each item's question, counted as parts of words in every document; the ten best documents of each item.
 
-    Keywords lie within runs of word characters, so each is counted once in every distinct word, not in every text.
-    Texts are shuffled once, by document."""
-    from pyspark.sql import Window
-
+    The questions are the stated query set and checked to be few; texts are read by a map that keeps the ten best of each batch, so none
+    is shuffled."""
+    ship(spark)
     keywords = F.regexp_extract_all(F.lower("task_prompt"), F.lit("[a-z][a-z0-9_]{2,}"), F.lit(0))
     q = table(spark, d, "eval_items").select("item_id", F.explode(keywords).alias("keyword")).filter(~F.col("keyword").isin(NAIVE_STOPWORDS)).distinct()
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{3,}"), F.lit(0))).alias("w")
-    inside = docs.select(w).distinct().join(F.broadcast(q.select("keyword").distinct()), F.expr("contains(w, keyword)"))
-    found = inside.select("w", "keyword", T.occurrences(F.col("w"), F.col("keyword")).alias("times"))
-    hits = docs.repartition("doc_id").select("doc_id", w).join(F.broadcast(found), "w").groupBy("doc_id", "keyword").agg(F.sum("times").alias("n"))
-    s = hits.join(F.broadcast(q), "keyword").groupBy("doc_id", "item_id").agg(F.sum("n").alias("hits")).select("item_id", "doc_id", "hits")
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))).filter("rank <= 10")
+    hits = keyword_hits(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"), q, 10)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))).filter("rank <= 10")
 
 
 def token_counts(spark, d):
@@ -134,12 +130,11 @@ ORACLE = {
     "qualified_refs": r"""
         SELECT DISTINCT item_id, unnest(regexp_extract_all(content, '\b[A-Za-z_]\w*\.[A-Za-z_]\w*')) AS reference FROM (SELECT DISTINCT item_id, content FROM packaged_files WHERE content IS NOT NULL)""",
     "keyword_rank": f"""
-        WITH w AS (SELECT item_id, unnest({sql.words('task_prompt')}) AS w, generate_subscripts({sql.words('task_prompt')}, 1) AS k FROM eval_items),
-        f AS (SELECT item_id, left(lower(w), 6) AS prefix, min(k) AS k FROM w WHERE length(w) >= 6 AND lower(w) NOT IN ({sql.STOP}) GROUP BY 1, 2),
-        q AS (SELECT item_id, prefix FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY k) <= 3),
-        dw AS (SELECT doc_id, unnest({sql.words('lower(text)')}) AS w FROM documents WHERE text IS NOT NULL),
-        h AS (SELECT doc_id, left(w, 6) AS prefix, count(*) AS n FROM dw WHERE length(w) >= 6 GROUP BY 1, 2),
-        s AS (SELECT item_id, doc_id, sum(n)::BIGINT AS hits FROM q JOIN h USING (prefix) GROUP BY 1, 2)
+        WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(task_prompt), '[a-z][a-z0-9_]{{2,}}')) AS keyword FROM eval_items),
+        k AS (SELECT * FROM q WHERE keyword NOT IN ({", ".join(f"'{w}'" for w in NAIVE_STOPWORDS)})),
+        t AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+        h AS (SELECT doc_id, keyword, (length(low) - length(replace(low, keyword, ''))) // length(keyword) AS n FROM t, (SELECT DISTINCT keyword FROM k) WHERE contains(low, keyword)),
+        s AS (SELECT item_id, doc_id, sum(n)::BIGINT AS hits FROM h JOIN k USING (keyword) GROUP BY 1, 2)
         SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""",
     "token_counts": """
         SELECT DISTINCT item_id, coalesce(token_count, -1) AS claimed, ceil(length(coalesce(content, '')) / 4.0)::BIGINT AS counted,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,12 +37,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: the one spark.checkpoint.dir names; only where that is unset, as in tests, a local one.
+    """A folder that all executors share: the one spark.checkpoint.dir names; only where that is unset and
+    the master is local, as in tests, a local one; on a cluster that is an error.
 
     The setting is read from the session and never changed when present."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), f"lodestone-{uuid.uuid4().hex}"))
     return sc.getCheckpointDir()
 

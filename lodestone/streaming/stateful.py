@@ -60,11 +60,9 @@ def incremental_files(path: str):
     def batch(new: DataFrame, _: int) -> None:
         spark = new.sparkSession
         hashed = new.select("file_path", F.sha2("source_bytes", 256).alias("digest")).dropDuplicates(["file_path", "digest"])
-        try:
-            known = spark.read.schema("file_path string, digest string").parquet(path)
-            known.isEmpty()
-        except Exception:  # the table isn't there yet
-            known = spark.createDataFrame([], "file_path string, digest string")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+        known = spark.read.schema("file_path string, digest string").parquet(path) if there else spark.createDataFrame([], "file_path string, digest string")
         hashed.join(known, ["file_path", "digest"], "left_anti").checkpoint().write.mode("append").parquet(path)
 
     return batch

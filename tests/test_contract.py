@@ -12,7 +12,7 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["route_groups", "taxonomy_owners", "rank_candidates", "budget_pack", "token_bucket", "call_edges", "suite_summary"])
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     import os
 
