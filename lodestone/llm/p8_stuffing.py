@@ -45,7 +45,7 @@ FLOOR = [0.3, 0.05, 0.04, 0.05]
 #: Squared distance beyond which a document is an outlier: the 0.975 quantile of chi squared with four degrees of freedom, as is
 #: usual for robust distances.
 CUTOFF = 11.143
-TOWARDS, ROUNDS, BINS, AGAIN = 0.25, 2, 25, 4
+TOWARDS, ROUNDS, BINS, AGAIN = 0.15, 2, 25, 4
 #: Centre of ordinary documents, which ``LEAN`` documents' weight of every estimate leans on.
 PRIOR, LEAN = [0.05, 0.3, 0.93, 0.05], 20
 #: Function words: at most so many letters, in at least this share of a language's documents, at most so many.
@@ -55,12 +55,12 @@ _LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)", re.S)
 _BLANK = re.compile(r"\n[ \t]*\n")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[ T]|\[?\d\d:\d\d(?::\d\d)?\S* .*\b(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b|File \"|Traceback|\w+(?:Error|Exception)\b|at [\w.$]+\()")
-#: Words; in scripts without spaces, pairs of letters.
+#: Words; in scripts without spaces, every three letters.
 _WORD = re.compile(r"[^\W\d_]+")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_PAIR = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+|[぀-ヿ㐀-鿿가-힯]{1,2}")
-#: Between pieces: after closing punctuation, and at line ends unless the line goes on in lower case.
-_PIECE = re.compile(r"(?<=[.!?…])(?:[\"')]|[^\x00-\x7f\s])*\s+|(?<=[。！？])\s*|\n+(?![^\W\d_A-ZÀ-Þ])|\n\n+")
+_RUN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+|[぀-ヿ㐀-鿿가-힯]{1,3}")
+#: Between pieces: after closing punctuation, perhaps with one more token stuck to it, and at line ends unless the line goes on in lower case.
+_PIECE = re.compile(r"(?<=[.!?…])(?:[\"')]|[^\x00-\x7f\s])*\s+|(?<=[。！？])\s*|(?<=[^\W\d_][.!?…])[^\s.!?]{1,12}\s+(?=[A-ZÀ-Þ])|\n+(?![^\W\d_A-ZÀ-Þ])|\n\n+")
 _OPENING = re.compile(r"(?:[-*•>+]\s+|\d+[.)]\s+|#+\s+|[*_`]*\w{1,40}[*_`]*:[*_`]*\s+)*[\"“„«(`*_]*")
 #: The end of a sentence, perhaps with one more token stuck to it.
 _CLOSED = re.compile(r"[\w`)\]\"”'’*%][.!?…。！？]\S{0,12}$")
@@ -75,7 +75,7 @@ def pairs_repeated(words: list[str]) -> float:
 
 
 def words_of(text: str) -> list[str]:
-    return (_WORD if text.isascii() or not _UNSPACED.search(text) else _PAIR).findall(text.lower())
+    return (_WORD if text.isascii() or not _UNSPACED.search(text) else _RUN).findall(text.lower())
 
 
 def code_marks(text: str) -> int:
@@ -83,11 +83,11 @@ def code_marks(text: str) -> int:
 
 
 def begins(sentence: str) -> bool:
-    """Whether a piece begins like a sentence: not in lower case, marks of lists, labels and quotes aside."""
+    """Whether a piece begins like a sentence: not in lower case, marks of lists, labels, quotes and one stray word aside."""
     first = sentence[:1]
     if not first.isupper():
         first = sentence[_OPENING.match(sentence).end() :][:1]
-    return not first.islower()
+    return not first.islower() or sentence.split(None, 2)[1][:1].isupper()
 
 
 def in_sentences(text: str, seen: Counter[str]) -> int:
@@ -111,8 +111,10 @@ def in_sentences(text: str, seen: Counter[str]) -> int:
 
 
 def set_aside(lines: list[str], size: int, text: str, words: list[str]) -> bool:
-    """Whether a block is a log, a table, code or quoted code."""
+    """Whether a block is a log, a table, a record of data, code or quoted code."""
     half = size / 2
+    if text[:1] in "{[" and text.rstrip()[-1:] in "}]" and '":' in text:  # a record of data
+        return True
     if (":" in text or "(" in text) and sum(len(x) for x in lines if _LOG.match(x)) > half or "|" in text and sum(len(x) for x in lines if x.startswith("|") and x.endswith("|")) > half:
         return True
     marks = code_marks(text)
