@@ -8,7 +8,8 @@ is from it, and what its tokens are, tells most of it:
   whose units, imports aside, repeat a few shapes of tokens; also a file whose functions are all of one numbered series,
 * dominance of literals, with hardly a name among the tokens, marks data written as code.
 
-The rest is told by the path (directories of tools and of third parties, suffixes of tool output) and by a notice at the
+Reasons that a file was offered for add to that: one that says itself that the file is generated, minified, vendored or data, and
+subjects of one or two letters, as minified script has, where the layout expands a little too. The rest is told by the path (directories of tools and of third parties, suffixes of tool output) and by a notice at the
 head of the file that says of this very file that a tool wrote it or that it comes from elsewhere. A notice of the
 repository's own team, and comments that merely mention generators, tell nothing.
 
@@ -61,6 +62,10 @@ _FUNCTION = re.compile(r"^(?:export\s+|default\s+|async\s+|pub(?:\([^)]*\))?\s+|
 #: Least share of tokens in units of repeated shapes, least number of such units and of their tokens, and largest share of
 #: lines off the canonical form, of a uniform file.
 REPEATED, REPEATED_UNITS, REPEATED_TOKENS, DEVIATION = 0.9, 12, 80, 0.02
+#: Least expansion of minified code, the one that suffices where the reasons name mangled subjects, and largest share of names in data.
+EXPANSION, MANGLED_EXPANSION, NAMES = 5, 3, 0.02
+#: Kinds that a reason may state, by its first words.
+STATED = {"vendored": "vendored|third[- ]party|copied from", "minified": "minified|bundled", "generated": "generated|auto-?generated", "data": "data file|literal data"}
 
 FEATURES = "file_path string, repo string, tool_notice boolean, copy_notice boolean, canonical_lines int, code_lines int, tokens int, names int, literals int, literal_chars long, code_chars long, functions int, series int, plain_start boolean, unit_tokens int, repeated_tokens int, repeated_units int, deviation double, delivered timestamp"
 
@@ -162,9 +167,9 @@ def features(files: DataFrame) -> DataFrame:
 
 
 def kind() -> Column:
-    """The reason why a file was not written by hand, null when it was. Thresholds lie in wide gaps of the figures: canonical
-    form expands hand-written code less than twice, minified code from about eight times on; hand-written code has a name
-    in at least every tenth token, data in less than every fiftieth."""
+    """The reason why a file was not written by hand, null when it was. Thresholds lie in wide gaps of the figures: minified is code that
+    its canonical form expands ``EXPANSION`` times or more (hand-written code at most 3 times, minified code from about 15 times on),
+    data has a name in less than ``NAMES`` of its tokens (hand-written code in 0.1 or more)."""
     p = F.col("file_path")
     dirs = F.transform(F.slice(F.split(F.lower(p), "/"), 2, 1_000), lambda x: F.regexp_replace(x, r"-\d+(\.\d+)*$", ""))
     folders = F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0)))
@@ -172,18 +177,26 @@ def kind() -> Column:
     expansion = F.col("canonical_lines") / F.col("code_lines")
     tokens = F.greatest("tokens", F.lit(1))
     vendored = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in VENDOR_DIRS.split()])) | F.col("copy_notice")
-    minified = name.rlike(MINIFIED_NAME) | (expansion >= 5) & (F.col("canonical_lines") >= 20)
+    stated = lambda k: F.coalesce(F.col("stated") == k, F.lit(False))
+    mangled = (F.col("offers") >= 2) & (F.col("mangled") * 2 >= F.col("offers")) & (expansion >= MANGLED_EXPANSION)
+    minified = name.rlike(MINIFIED_NAME) | ((expansion >= EXPANSION) | mangled) & (F.col("canonical_lines") >= 20)
     uniform = (F.col("series") >= 3) & (F.col("series") >= 0.9 * F.col("functions")) | F.coalesce(F.col("deviation") <= DEVIATION, F.lit(False))
     generated = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in GENERATED_DIRS.split()])) | name.rlike(GENERATED_NAME) | F.col("tool_notice") | uniform
     data = F.col("plain_start") & (F.col("code_chars") >= 200) & (
-        (F.col("names") / tokens < 0.02) & (F.col("literals") / tokens >= 0.3) | (F.col("literal_chars") / F.col("code_chars") >= 0.9))
-    return F.when(vendored, "vendored").when(minified, "minified").when(generated, "generated").when(data, "data")
+        (F.col("names") / tokens < NAMES) & (F.col("literals") / tokens >= 0.3) | (F.col("literal_chars") / F.col("code_chars") >= 0.9))
+    return F.when(vendored | stated("vendored"), "vendored").when(minified | stated("minified"), "minified").when(generated | stated("generated"), "generated").when(data | stated("data"), "data")
 
 
 def report(candidates: DataFrame, packaged: DataFrame, files: DataFrame) -> DataFrame:
     """Every offered source file with its figures, its kind (null: hand-written) and how often it is offered."""
     path = F.regexp_replace("file_path", r"^(\./)+", "").alias("file_path")
-    offered = candidates.select(path).unionByName(packaged.select(path)).filter("file_path is not null").groupBy("file_path").agg(F.count("*").alias("offers"))
+    subject = F.regexp_replace(F.coalesce("reason", F.lit("")), r"^(called by|\S+) ", "")
+    told = F.lit(None).cast("string")
+    for k, words in STATED.items():
+        told = F.when(F.col("reason").rlike(rf"(?i)^(evidence:\s*)?({words})\b"), k).otherwise(told)
+    row = (path, told.alias("stated"), subject.rlike(r"^\w{1,2}(\.\w{1,2})*$").alias("mangled"))
+    offered = candidates.select(*row).unionByName(packaged.select(*row)).filter("file_path is not null").groupBy("file_path").agg(
+        F.count("*").alias("offers"), F.max("stated").alias("stated"), F.count_if("mangled").alias("mangled"))
     return features(files).join(offered, "file_path").withColumn("kind", kind())
 
 

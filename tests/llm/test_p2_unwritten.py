@@ -32,12 +32,20 @@ def test_kinds(spark, path, source, kind):
 
 def test_only_offered_files_once(spark):
     files = spark.createDataFrame([("r/vendor/a.py", "r", HAND, T0), ("r/vendor/a.py", "r", HAND, T0 + dt.timedelta(1)), ("r/vendor/b.py", "r", HAND, None), ("r/vendor/c.md", "r", b"# x", T0)], "file_path string, repo string, source_bytes binary, ingested_at timestamp")
-    offered = spark.createDataFrame([("./r/vendor/a.py",), ("r/vendor/a.py",), ("r/vendor/c.md",), ("r/none.py",)], "file_path string")
+    offered = spark.createDataFrame([("./r/vendor/a.py", None), ("r/vendor/a.py", "x"), ("r/vendor/c.md", None), ("r/none.py", None)], "file_path string, reason string")
     empty = offered.limit(0)
     assert [r[0] for r in P.found(offered, empty, files).collect()] == ["r/vendor/a.py"]
     assert P.found(empty, empty, files).count() == 0 and P.found(offered, offered, files.limit(0)).count() == 0
 
 
+def test_reasons_tell(spark):
+    squeezed = ("".join(f"a{k}=f(a);" for k in range(4)) + "\n") * 6
+    files = spark.createDataFrame([("r/a.py", "r", HAND, T0), ("r/b.js", "r", squeezed.encode(), T0), ("r/c.js", "r", squeezed.encode(), T0)], "file_path string, repo string, source_bytes binary, ingested_at timestamp")
+    offered = spark.createDataFrame([("r/a.py", "evidence: vendored copy of a parser"), ("r/b.js", "calls e.n"), ("r/b.js", "called by c"), ("r/c.js", "calls vendoredThing"), ("r/c.js", "defines load")], "file_path string, reason string")
+    got = {r["file_path"]: r["kind"] for r in P.report(offered, offered.limit(0), files).collect()}
+    assert got == {"r/a.py": "vendored", "r/b.js": "minified", "r/c.js": None}
+
+
 TYPES = "import { Base } from './base';\n\n" + "".join(f"export interface {n}Message extends Base {{\n    id: number;\n    {n.lower()}: string[];\n}}\n\n" for n in "Ant Bee Cat Dog Elk Fox Gnu Hen Ibis Jay Kite Lynx Mole Newt".split())
 
 
