@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..session import shared_dir
 
 #: Names with more definitions than this are ambiguous.
 PRECISE = 5
@@ -49,6 +50,20 @@ def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return resolve(calls, "callee_name", symbols, ["function", "method"]).select("caller_file", F.col("id").alias("callee"), F.col("symbol_file").alias("callee_file")).distinct()
 
 
+def call_parts(calls: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of ``call_edges`` before they are multiplied out, as calls (``caller_file, called``) and definitions (``called, callee,
+    callee_file``), of which every match on ``called`` is an edge: a qualified name after ``=``, a simple one after ``~``. Both grow with
+    their tables, while the edges grow with the product of a name's calls and definitions. A symbol that a caller means by both its names
+    matches twice."""
+    shared_dir(symbols.sparkSession)
+    known = symbols.filter("qualified_name is not null").select(F.col("qualified_name").alias("callee_name")).distinct().withColumn("_exact", F.lit(True))
+    c = calls.select("callee_name", "caller_file").join(known, "callee_name", "left")
+    c = c.select("caller_file", F.when(F.col("_exact"), F.concat(F.lit("="), F.col("callee_name"))).otherwise(F.concat(F.lit("~"), F.substring_index("callee_name", ".", -1))).alias("called")).distinct().checkpoint()
+    keys = F.explode(F.array(F.concat(F.lit("="), F.col("qualified_name")), F.concat(F.lit("~"), F.col("name")))).alias("called")
+    s = symbols.filter(F.col("kind").isin("function", "method")).select(keys, F.col("id").alias("callee"), F.col("file_path").alias("callee_file"))
+    return c, s.join(c.select("called").distinct(), "called", "left_semi")
+
+
 def candidate_set(names: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """``name, file_path, hop, tier, reason, chain, confidence``: the files that define each name of ``names``, those that call it from
     the same file or directory (``caller_file, callee``), and those with a type that extends it. A file has one row a name, its first

@@ -18,12 +18,12 @@ from ..operators import graph as G
 from ..operators import packing as K
 from ..operators import resolve as R
 from ..operators import routing
-from ..session import shared_dir, ship, table
+from ..session import ship, table
 from . import sql
 from .index_queries import _GROUPS, _groups
 from .ledger_queries import _NEWEST, _R, _newest_pairs
 from .ranking_queries import _C, _candidates
-from .symbol_queries import _EDGES, _S, _dir, _symbols, call_edges
+from .symbol_queries import _EDGES, _S, _calls, _dir, _symbols, call_edges
 
 
 def keyword_classes(spark, d):
@@ -116,12 +116,18 @@ def local_bfs(spark, d):
 
 
 def entry_distance(spark, d):
-    """Hops of every file from the nearest file that calls but isn't called."""
-    shared_dir(spark)
-    e = call_edges(spark, d).filter("caller_file != callee_file").select(F.col("caller_file").alias("src"), F.col("callee_file").alias("dst")).distinct().checkpoint()
-    starts = e.select("src").join(e.select(F.col("dst").alias("src")), "src", "left_anti").distinct().select(F.col("src").alias("start"))
-    near = G.bfs(e, starts).groupBy("node").agg(F.min("hop").alias("hops"))
-    return starts.select(F.col("start").alias("node"), F.lit(0).alias("hops")).unionByName(near)
+    """Hops of every file from the nearest file that calls but isn't called, along calls between different files."""
+    calls, defs = R.call_parts(_calls(spark, d), _symbols(spark, d))
+    out = calls.select(F.col("caller_file").alias("src"), F.col("called").alias("relay"))
+    into = defs.filter("callee_file is not null").select(F.col("called").alias("relay"), F.col("callee_file").alias("dst")).distinct().checkpoint()
+
+    def beside(own, node, far, other):
+        """The nodes of one side that have another file on the other side of a name."""
+        ends = far.groupBy("relay").agg(F.min(other).alias("a"), F.max(other).alias("b"))
+        return own.join(ends, "relay").filter((F.col(node) != F.col("a")) | (F.col(node) != F.col("b"))).select(F.col(node).alias("node")).distinct()
+
+    starts = beside(out, "src", into, "dst").join(beside(into, "dst", out, "src"), "node", "left_anti")
+    return G.nearest(out, into, starts)
 
 
 def ambiguous_rank(spark, d):

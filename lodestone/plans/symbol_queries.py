@@ -35,9 +35,12 @@ def unresolved_refs(spark, d):
     return n.join(R.resolve(n, "raw_name", s).select("raw_name").distinct(), "raw_name", "left_anti")
 
 
+def _calls(spark, d):
+    return _names(spark, d, "calls").select(F.col("raw_name").alias("callee_name"), F.col("context_file").alias("caller_file"))
+
+
 def call_edges(spark, d):
-    calls = _names(spark, d, "calls").select(F.col("raw_name").alias("callee_name"), F.col("context_file").alias("caller_file"))
-    return R.call_edges(calls, _symbols(spark, d))
+    return R.call_edges(_calls(spark, d), _symbols(spark, d))
 
 
 def callers_of(spark, d):
