@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import resolve as R
 from ..session import ship, table
-from .symbol_queries import _EDGES, call_edges
+from .symbol_queries import _EDGES, _calls, _symbols, call_edges
 
 
 def _trade(spark, d):
@@ -80,9 +81,20 @@ def fan_profile(spark, d):
 
 
 def label_propagation(spark, d):
+    """Communities of files by calls: an edge for each file that calls a symbol and the file that defines it. They are made of numbers and
+    only on their way to the task that needs them; components are found from a link to the first caller of a name for all files of it."""
     ship(spark)
-    e = call_edges(spark, d).select(F.col("caller_file").alias("src"), F.col("callee_file").alias("dst"))
-    return G.label_propagation(e)
+    calls, defs = R.call_parts(_calls(spark, d), _symbols(spark, d))
+    twice = F.count("*").over(Window.partitionBy("callee")) > 1  # a caller may mean it by both its names, which is one edge
+    defs = defs.filter("callee_file is not null").select("called", F.when(twice, F.col("callee")).alias("callee"), "callee_file").checkpoint()
+    names = G.numbered(calls.select(F.col("caller_file").alias("node")).union(defs.select("callee_file")))
+    out = G.exchanged(calls.join(defs.select("called").distinct(), "called", "left_semi"), names, "number", "caller_file").select(F.col("caller_file").alias("src"), "called").checkpoint()
+    into = G.exchanged(defs, names, "number", "callee_file").select("called", "callee", F.col("callee_file").alias("dst")).checkpoint()
+    first = out.groupBy("called").agg(F.min("src").alias("first"))
+    links = out.select("called", "src").union(into.select("called", "dst")).join(first, "called").select("src", F.col("first").alias("dst")).distinct()
+    pairs = out.join(into, "called")
+    edges = pairs.filter("callee is null").select("src", "dst").union(pairs.filter("callee is not null").select("src", "callee", "dst").distinct().select("src", "dst"))
+    return G.exchanged(G.label_propagation(edges, links=links), names, "node", "node", "community").select("node", "community")
 
 
 def betweenness(spark, d):
